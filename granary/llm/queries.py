@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm.common import documents
+from granary.llm.common import documents, fold_of
 
 
 def tokenizer_path() -> str:
@@ -13,6 +13,34 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import langid
+
+    docs = documents(spark, sf_dir)
+    fold = fold_of("doc_id", 5)
+    return langid.predict(docs, langid.train(docs.where(fold != 0)), fold == 0)
+
+
+def op4_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import toxicity
+
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    fold = fold_of("doc_id", 4)
+    return toxicity.score(docs, toxicity.train(docs.where(fold != 2), labels.where(fold != 2)), fold == 2)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.license_scan import scan
+
+    return scan(documents(spark, sf_dir))
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.media import media_columns
+
+    return media_columns(documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.exact_dedup import duplicate_groups
 
