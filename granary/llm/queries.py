@@ -21,6 +21,12 @@ def op1_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs.where(fold != 0)), fold == 0)
 
 
+def op3_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.lm_score import learn_and_score
+
+    return learn_and_score(documents(spark, sf_dir), fold_of("doc_id", 7) == 2)
+
+
 def op4_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm import toxicity
 
