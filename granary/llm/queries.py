@@ -65,6 +65,12 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op9_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.near_dup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.packing import pack
 
