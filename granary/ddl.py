@@ -75,7 +75,7 @@ def parse_fact(tokens: list[Token]) -> Fact:
     policy = "NON_ADDITIVE" if "NON" in c else "SEMI_ADDITIVE" if "SEMI_ADDITIVE" in c else "ADDITIVE"
     by = c.get("NON") or c.get("SEMI_ADDITIVE") or []
     by = [t.value for t in by if t.kind == "name" and t.upper not in ("ADDITIVE", "BY", "NON", "OVER")]
-    return Fact(name, _entity(c, f"Fact {name}"), render(c["AS"]), render(c["RETURNS"]), policy, _text(c.get("DISPLAY")), _text(c.get("COMMENT")), "PRIVATE" in c, "CERTIFIED" in c, by[0] if by else None)
+    return Fact(name, _entity(c, f"Fact {name}"), render(c["AS"]), render(c["RETURNS"]).replace(", ", ","), policy, _text(c.get("DISPLAY")), _text(c.get("COMMENT")), "PRIVATE" in c, "CERTIFIED" in c, by[0] if by else None)
 
 
 def parse_metric(tokens: list[Token]) -> tuple[Metric, list[str]]:
@@ -100,7 +100,7 @@ def parse_metric(tokens: list[Token]) -> tuple[Metric, list[str]]:
         predicate,
         "SEMI_ADDITIVE" if "SEMI_ADDITIVE" in c else "NON_ADDITIVE" if semi or kind in ("RATIO", "DISTINCT", "DERIVED", "WINDOW") else "ADDITIVE",
         kind,
-        render(c["RETURNS"]),
+        render(c["RETURNS"]).replace(", ", ","),
         _text(c.get("DISPLAY")),
         _text(c.get("COMMENT")),
         _text(c.get("FORMAT")),
@@ -139,6 +139,8 @@ class Definition:
 
     def normalized(self) -> str:
         def plain(x):
+            if isinstance(x, (list, tuple)):
+                return [plain(v) for v in x]
             return dataclasses.asdict(x) if dataclasses.is_dataclass(x) else x
 
         return json.dumps({"model": self.model, "object": self.object, "operations": [[plain(p) for p in op] for op in self.operations]}, sort_keys=True)

@@ -39,10 +39,10 @@ def _expression(item: dict) -> str | None:
 
 
 def load(source: str | dict | Path) -> dict:
-    """A document from a mapping, a file, or YAML or JSON text."""
+    """A document from a mapping, a file's path, or YAML or JSON text."""
     if isinstance(source, dict):
         return source
-    text = Path(source).read_text() if isinstance(source, Path) or "\n" not in str(source) and Path(str(source)).is_file() else str(source)
+    text = source.read_text() if isinstance(source, Path) else source
     try:
         return json.loads(text)
     except ValueError:

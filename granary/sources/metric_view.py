@@ -297,7 +297,7 @@ def import_metric_view(text: str, model: str, schema: str, obj: str, root: str =
         work.measure(item if isinstance(item, dict) else {})
     if view.get("filter"):
         work.note(500, "WARNING", "filter", "The view's filter isn't applied; add it to the metrics that need it.")
-    if view.get("materialization"):
+    if "materialization" in view:
         work.note(510, "INFO", "materialization", "Materialization is ignored; register aggregates instead.")
     return Imported(work.model, work.notes)
 
