@@ -111,7 +111,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
                     c = features(text)
                     used = np.flatnonzero(c)
                     out.append((lang, h, used.astype(np.int32), c[used].astype(np.int32)))
-            yield pd.DataFrame(out, columns=["lang", "h", "used", "counts"])
+            if out:  # Spark takes no frame without rows
+                yield pd.DataFrame(out, columns=["lang", "h", "used", "counts"])
 
     found = rows.where(picked).mapInPandas(count, "lang string, h long, used array<int>, counts array<int>").limit(most).collect()
     return fit([(r.lang, np.asarray(r.used, np.int64), np.asarray(r.counts, np.float64)) for r in sorted(found, key=lambda r: (r.lang, r.h))])

@@ -99,7 +99,8 @@ def token_frequencies(docs: DataFrame, text_col: str, tokens: set[bytes]) -> dic
             for text in batch["_text"]:
                 for t in tokens & set(words_of(text)):
                     found[t] = found.get(t, 0) + 1
-        yield pd.DataFrame({"token": [t.decode() for t in found], "n": list(found.values())})
+        if found:  # Spark takes no frame without rows
+            yield pd.DataFrame({"token": [t.decode() for t in found], "n": list(found.values())})
 
     counted = docs.select(F.col(text_col).alias("_text")).mapInPandas(count, "token string, n long")
     return {r.token.encode(): r.n for r in counted.groupBy("token").agg(F.sum("n").alias("n")).collect()}

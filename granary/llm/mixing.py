@@ -13,6 +13,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from granary.llm.common import shared_dir, ship
@@ -24,7 +25,7 @@ MAX_SOURCES = 100_000
 _PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def word_count(text: pd.Series) -> pd.Series:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; null has none."""
     return text.map(lambda t: len(t.encode().split()) if t else 0).astype("int64")

@@ -12,11 +12,12 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import ship
+from granary.llm.common import ship, written
 
 #: Words of the grammar's closed classes.
 TARGET = "you your yours yourself he him she her they them their these those we us people everyone"
@@ -34,6 +35,7 @@ _ENDS = frozenset(".!?;:\n|")
 STEM_LENGTHS = (4, 5, 6)
 PATTERNS = ("none", "reported", "negated", "plain", "aimed", "threat")
 _GAP = 6
+MOST_ENTRIES = 5000
 
 
 class Transducer:
@@ -129,18 +131,16 @@ def clauses(text: str):
 
 
 class Lexicon:
-    """The first transducer: words to marks, by whole word, then by learned stem."""
+    """The first transducer: words to marks with weights, by whole word, then by the longest learned stem."""
 
-    def __init__(self, words: set[str], stems: set[str]):
+    def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.words, self.stems, self.known = words, stems, {}
 
-    def mark(self, word: str) -> str:
+    def mark(self, word: str) -> tuple[str, float]:
         found = self.known.get(word)
         if found is None:
-            if word in self.words or any(word[:n] in self.stems for n in STEM_LENGTHS if len(word) >= n):
-                found = INSULT
-            else:
-                found = _CLOSED.get(word, "")
+            weight = self.words.get(word) or max((self.stems.get(word[:n], 0.0) for n in STEM_LENGTHS if len(word) > n), default=0.0)
+            found = (INSULT, weight) if weight else (_CLOSED.get(word, ""), 0.0)
             if len(self.known) > 400_000:
                 self.known.clear()
             self.known[word] = found
@@ -149,51 +149,83 @@ class Lexicon:
     def __getstate__(self):
         return {"words": self.words, "stems": self.stems, "known": {}}
 
-    def patterns(self, text: str) -> dict[str, int]:
-        """How many clauses of a text match each pattern."""
+    def matches(self, text: str) -> tuple[dict[str, int], float, int]:
+        """(clauses that match each pattern, sum of their weights, words of the text)."""
         found: dict[str, int] = {}
         mark = self.mark
         tokens = _TOKEN.findall(text.lower())
-        marks = [mark(t) for t in tokens]
+        marked = [mark(t) for t in tokens]
+        marks = [m for m, _ in marked]
         if INSULT not in marks and THREATEN not in marks:
-            return found
-        start = 0
+            return found, 0.0, len(tokens)
+        start, total = 0, 0.0
         for at, t in enumerate([*tokens, "."]):
             if t in _ENDS:
                 part = marks[start:at]
-                start = at + 1
                 if INSULT in part or THREATEN in part:
                     _, name = GRAMMAR(part)
                     if name != "none":
                         found[name] = found.get(name, 0) + 1
-        return found
+                        total += sum(w for _, w in marked[start:at]) + (_THREAT_WEIGHT if name == "threat" else 0.0)
+                start = at + 1
+        return found, total, len(tokens)
+
+
+_THREAT_WEIGHT = 2.0
+_FEATURES = 4 + len(PATTERNS) - 2
+
+
+def features(matches: tuple[dict[str, int], float, int], rate: float) -> list[float]:
+    """What a document's score hangs on: its clauses' weight, that weight against its length, and its patterns.
+
+    ``rate`` is how often toxic documents have a marked word; one stray mark in a long text weighs little.
+    """
+    found, total, words = matches
+    if not found:
+        return [1.0, *([0.0] * (_FEATURES - 1))]
+    return [1.0, 1.0, math.log1p(total), math.log((total + 0.5) / (rate * words + 1.0)), *(float(p in found) for p in PATTERNS if p not in ("none", "plain"))]
 
 
 class Model:
-    """Probabilities by heaviest pattern: ``rates[pattern]``."""
+    """Lexicon, rate of marked words in toxic documents, and weights of the features."""
 
-    def __init__(self, lexicon: Lexicon, rates: dict[str, float]):
-        self.lexicon, self.rates = lexicon, rates
+    def __init__(self, lexicon: Lexicon, rate: float, weights: list[float]):
+        self.lexicon, self.rate, self.weights = lexicon, rate, weights
 
     def score(self, text: str | None) -> tuple[float, str, int]:
-        found = self.lexicon.patterns(text) if text else {}
-        if not found:
-            return self.rates["none"], "none", 0
-        name = max(found, key=lambda k: (self.rates[k], k))
-        n = sum(found.values())
-        # More clauses than one raise the odds a little.
-        odds = self.rates[name] / (1 - self.rates[name]) * (1 + 0.1 * math.log(n))
-        return odds / (1 + odds), name, n
+        found = self.lexicon.matches(text) if text else ({}, 0.0, 0)
+        z = sum(w * x for w, x in zip(self.weights, features(found, self.rate), strict=True))
+        best = max(found[0], key=PATTERNS.index) if found[0] else "none"
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), best, sum(found[0].values())
+
+
+#: Weights believed beforehand, and how firmly: no clause, any clause, weight, weight for length, then the patterns
+#: reported and negated (milder), aimed and threat.
+_PRIOR = (-3.0, 2.5, 0.5, 0.5, -1.0, -1.0, 0.5, 1.0)
+
+
+def fit_weights(rows: np.ndarray, y: np.ndarray, firmness: float = 1.0) -> list[float]:
+    """Logistic regression pulled towards the prior, by Newton's method."""
+    prior = np.array(_PRIOR)
+    w = prior.copy()
+    for _ in range(30 if len(y) else 0):
+        p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+        gradient = rows.T @ (p - y) + firmness * (w - prior)
+        hessian = (rows * (p * (1 - p))[:, None]).T @ rows + firmness * np.eye(len(w))
+        step = np.linalg.solve(hessian, gradient)
+        w = w - step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
+    return [float(x) for x in w]
 
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 12_000
 ) -> Model:
-    """Learn lexicon and rates from labelled documents, at most about ``most``, picked by a hash of their id.
+    """Learn lexicon and weights from labelled documents, at most about ``most``, picked by a hash of their id.
 
-    A word or stem counts once for each pair of neighbours it has, so copies of a document teach nothing new.
-    It becomes an insult when its contexts in toxic documents are too many to come from chance over the whole
-    vocabulary, and nearly all its contexts are toxic. Words are counted by Spark; the driver gets entries.
+    A word counts once for each pair of neighbours it has, so copies of a document teach nothing new. It becomes
+    an insult when its contexts in toxic documents are too many to come from chance over the whole vocabulary and
+    few are clean; a stem does when that holds for its words without the most frequent one. Words are counted by
+    Spark; the driver gets entries, and four numbers and the patterns of each labelled document.
     """
     ship(docs.sparkSession)
     known = (
@@ -204,58 +236,74 @@ def train(
     )
     total = known.count()
     edge = int(min(1.0, most / max(1, total)) * (1 << 32))
-    known = known.where(F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 32)) < edge)
-    rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).where(
-        F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 32)) < edge
-    ).join(known, "_id").where("_text IS NOT NULL")
-    from granary.llm.common import written
-
-    rows = written(rows, "labelled")
+    picked = F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 32)) < edge
+    rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).where(picked)
+    rows = written(rows.join(known.where(picked), "_id").where("_text IS NOT NULL").select("_text", "_y"), "labelled")
 
     def contexts(batches):
+        seen: dict[tuple, list[int]] = {}
+
+        def flushed():
+            out = pd.DataFrame([(*k, *v) for k, v in seen.items()], columns=["word", "around", "clean", "toxic"])
+            seen.clear()
+            return out
+
         for batch in batches:
-            seen: dict[tuple, int] = {}
             for text, y in zip(batch["_text"], batch["_y"], strict=True):
+                if len(seen) > 200_000:
+                    yield flushed()
                 for words in clauses(text):
                     for i, w in enumerate(words):
                         around = hash_of(words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "")
-                        seen[w, 0, around] = max(y, seen.get((w, 0, around), 0))
-                        for n in STEM_LENGTHS:
-                            if len(w) > n:
-                                seen[w[:n], 1, around] = max(y, seen.get((w[:n], 1, around), 0))
-            yield pd.DataFrame([(*k, y) for k, y in seen.items()], columns=["entry", "stem", "around", "y"])
+                        seen.setdefault((w, around), [0, 0])[y] += 1
+        if seen:  # Spark takes no frame without rows
+            yield flushed()
 
     # A context counts as toxic only if no clean document has it too.
-    pairs = (
-        rows.withColumn("_y", F.col("_y").cast("int"))
-        .mapInPandas(contexts, "entry string, stem int, around long, y int")
-        .groupBy("entry", "stem", "around")
-        .agg(F.max("y").alias("hot"), F.min("y").alias("cold"))
+    pairs = rows.mapInPandas(contexts, "word string, around long, clean long, toxic long").groupBy("word", "around")
+    counted = pairs.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).groupBy("word").agg(
+        F.sum(F.when(F.col("clean") == 0, 1).otherwise(0)).alias("pos"),
+        F.sum(F.when(F.col("clean") > 0, 1).otherwise(0)).alias("neg"),
+        F.sum("clean").alias("clean"),
+        F.sum("toxic").alias("toxic"),
     )
-    counted = pairs.groupBy("entry", "stem").agg(
-        F.sum(F.when(F.col("cold") == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("cold") == 0, 1).otherwise(0)).alias("neg")
+    words = written(counted, "words")
+    sums = words.agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "clean", "toxic")], F.count(F.lit(1)).alias("n")).first()
+    share = min(0.5, max(1e-3, (sums.pos or 0) / max(1, (sums.pos or 0) + (sums.neg or 0))))
+    least = max(3, math.ceil((math.log(max(2, sums.n)) + 2) / -math.log(share)))
+    sure = (F.col("pos") - F.col("top") >= least) & (F.col("pos") >= 3 * F.col("neg")) & (F.col("toxic") >= 3 * F.col("clean"))
+    columns = ["entry", "pos", "clean", "toxic"]
+    whole = words.withColumn("entry", F.col("word")).withColumn("top", F.lit(0)).where(sure).select(*columns)
+    stems = (
+        words.where(F.length("word") > min(STEM_LENGTHS))
+        .select("*", F.explode(F.array(*[F.lit(n) for n in STEM_LENGTHS])).alias("_n"))
+        .where(F.length("word") > F.col("_n"))
+        .groupBy(F.expr("left(word, _n)").alias("entry"))
+        .agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "clean", "toxic")], F.max("pos").alias("top"))
+        .where(sure & (2 * F.col("top") <= F.col("pos")))
+        .select(*columns)
     )
-    stats = written(counted, "entries")
-    sums = stats.where("stem = 0").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    pos, neg, vocabulary = int(sums.p or 0), int(sums.n or 0), int(sums.v or 0)
-    rate = min(0.5, max(1e-3, pos / max(1, pos + neg)))
-    least = max(3, math.ceil((math.log(max(2, vocabulary)) + 2) / -math.log(rate)))
-    good = stats.where((F.col("pos") >= least) & (F.col("pos") >= 9 * F.col("neg"))).orderBy(F.desc("pos"), "entry", "stem").limit(5000).collect()
-    lexicon = Lexicon({r.entry for r in good if r.stem == 0}, {r.entry for r in good if r.stem == 1})
+
+    def weighed(frame: DataFrame) -> dict[str, tuple[float, int]]:
+        found = frame.orderBy(F.desc("pos"), "entry").limit(MOST_ENTRIES).collect()
+        base = math.log((sums.toxic + 1) / (sums.clean + 1)) if found else 0.0
+        return {r.entry: (max(0.5, math.log((r.toxic + 0.5) / (r.clean + 0.5)) - base), r.pos) for r in found}
+
+    by_stem = weighed(stems)
+    # Of nested stems the longest that has nearly all contexts of the shorter one.
+    kept = {s: w for s, (w, n) in by_stem.items() if not any(t != s and t.startswith(s) and by_stem[t][1] >= 0.9 * n for t in by_stem)}
+    lexicon = Lexicon({s: w for s, (w, _) in weighed(whole).items()}, kept)
 
     def match(batches):
         for batch in batches:
-            found = [lexicon.patterns(t) for t in batch["_text"]]
-            yield pd.DataFrame({"pattern": [max(f, key=PATTERNS.index) if f else "none" for f in found], "y": batch["_y"]})
-
-    seen = {r.pattern: (r.n, r.y) for r in rows.mapInPandas(match, "pattern string, y int").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()}
-    # Prior beliefs, worth a few documents: reported and negated clauses are milder.
-    prior = {"none": 0.05, "reported": 0.5, "negated": 0.5, "plain": 0.85, "aimed": 0.9, "threat": 0.9}
-    rates = {}
-    for name, p in prior.items():
-        n, y = seen.get(name, (0, 0))
-        rates[name] = (y + 4 * p) / (n + 4)
-    return Model(lexicon, rates)
+            found = [lexicon.matches(t) for t in batch["_text"]]
+            yield pd.DataFrame({"patterns": [sorted(f[0]) for f in found], "total": [f[1] for f in found], "words": [f[2] for f in found], "y": batch["_y"]})
+
+    told = rows.mapInPandas(match, "patterns array<string>, total double, words long, y int").collect()
+    tokens = sum(r.words for r in told if r.y)
+    rate = max(1e-4, sum(r.total for r in told if r.y) / max(1, tokens))
+    x = np.array([features((dict.fromkeys(r.patterns, 1), r.total, r.words), rate) for r in told], dtype=float).reshape(len(told), _FEATURES)
+    return Model(lexicon, rate, fit_weights(x, np.array([r.y for r in told], dtype=float)))
 
 
 def hash_of(left: str, right: str) -> int:
