@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents stay whole: one whose words are taken r times over on the average stands floor(r) times, and once
     more with the probability of r's fraction, by a hash of its id. So a source's words come near its target.
     """
-    share = F.col("taken") / F.col("size")
+    share = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0)
     dice = F.pmod(F.xxhash64(F.lit(23), F.col("doc_id").cast("string")), F.lit(1 << 32)) / float(1 << 32)
     times = (F.floor(share) + F.when(dice < share - F.floor(share), 1).otherwise(0)).cast("int")
     taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), times.alias("_times")).where("_times > 0")

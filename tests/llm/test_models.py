@@ -130,7 +130,7 @@ def test_toxicity_learns_words_and_stems(spark):
     marks = spark.createDataFrame([*labels, (None, 1, "y"), (3, None, "y")], "doc_id long, toxic int, text string")
     held = F.col("doc_id") % 5 == 1
     model = toxicity.train(docs.where(~held), marks.where(~held))
-    assert {"clod", "knave"} <= model.lexicon.words and any("zorgle".startswith(s) for s in model.lexicon.stems)
+    assert {"clod", "knave"} <= model.lexicon.words.keys() and any("zorgle".startswith(s) for s in model.lexicon.stems)
     got = toxicity.score(docs, model, held).collect()
     assert all(r.predicted == labels[r.doc_id][1] and 0 <= r.score <= 1 for r in got)
     out = toxicity.score(messy(spark), model).collect()
