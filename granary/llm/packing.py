@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -21,9 +22,15 @@ from pyspark.sql.window import Window
 from granary.llm.common import ship, written
 
 END_ID = 2
-_CACHES: dict[str, tuple] = {}
-_MOST_CACHED = 600_000
+_CACHES: dict[str, Recent] = {}
+_MOST_CACHED = 300_000
 _LONG = 64
+#: The byte-level pre-tokenizer's word pattern, and characters of which all Unicode versions agree.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PLAIN = re.compile("[\t\n\r -~\xa1-\u024f]*")
+#: Bytes as the characters that stand for them in the vocabulary: printable ones as they are, the others from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: chr(b) for b in _PRINTABLE} | {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _ODD = re.compile(r"\s | \s|^ | $")
 
 
@@ -103,19 +110,50 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> tuple[dict[int
     return places, bins
 
 
-def _tokenizer(path: str) -> tuple:
+class Recent(dict):
+    """What ``make`` gives for a key, remembered; of more than ``most`` keys those used since the last half stay."""
+
+    def __init__(self, make, most: int = _MOST_CACHED):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= _LONG:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
+def _tokenizer(path: str) -> Recent:
+    """Ids of a text between two cuts, as bytes, for one tokenizer file."""
     if path not in _CACHES:
+        import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _CACHES.clear()
-        _CACHES[path] = (tokenizer, {})
-    return _CACHES[path]
+        model, words = tokenizer.model, regex.compile(_WORDS)
+
+        def of_word(word: str) -> bytes:
+            return array("I", [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+
+        known = Recent(of_word)
 
+        def of_part(part: str) -> bytes:
+            # Where all versions of Unicode agree on letters and digits, the words are found here and go to the
+            # tokenizer's model one by one; other text goes through the tokenizer on the whole.
+            if _PLAIN.fullmatch(part):
+                return b"".join([known[w] for w in words.findall(part)])
+            return array("I", tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
-def _raw(encodings) -> list[bytes]:
-    return [np.asarray(e.ids, "<u4").tobytes() for e in encodings]
+        _CACHES.clear()
+        _CACHES[path] = Recent(of_part)
+    return _CACHES[path]
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
@@ -125,10 +163,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     white space, so what lies between such spaces is encoded once and remembered. A text with other runs of
     white space around a space is joined back there before it is looked up.
     """
-    tokenizer, cache = _tokenizer(path)
-    if len(cache) > _MOST_CACHED:
-        cache.clear()
-    split: list[list[str]] = []
+    cache, out = _tokenizer(path), []
     for text in texts:
         words = text.split(" ")
         parts = [words[0]]
@@ -140,17 +175,9 @@ def encode(texts: list[str], path: str) -> list[bytes]:
                     parts.append(" " + w)
         else:
             parts += [" " + w for w in words[1:]]
-        split.append(parts)
-    new = list({p for parts in split for p in parts if p not in cache})
-    fresh: dict[str, bytes] = {}
-    for i in range(0, len(new), 20_000):
-        some = new[i : i + 20_000]
-        fresh.update(zip(some, _raw(tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-    cache.update((p, ids) for p, ids in fresh.items() if len(p) <= _LONG)
-    long = {p: ids for p, ids in fresh.items() if len(p) > _LONG}
-    if long:
-        return [b"".join([long[p] if p in long else cache[p] for p in parts]) for parts in split]
-    return [b"".join([cache[p] for p in parts]) for parts in split]
+        ids = b"".join([cache[p] for p in parts])
+        out.append(ids)
+    return out
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024) -> DataFrame:
