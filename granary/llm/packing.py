@@ -23,7 +23,7 @@ from granary.llm.common import ship, written
 
 END_ID = 2
 _CACHES: dict[str, Recent] = {}
-_MOST_CACHED = 300_000
+_MOST_CACHED = 700_000
 _LONG = 64
 #: The byte-level pre-tokenizer's word pattern, and characters of which all Unicode versions agree.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -130,7 +130,7 @@ class Recent(dict):
 
 
 def _tokenizer(path: str) -> Recent:
-    """Ids of a text between two cuts, as bytes, for one tokenizer file."""
+    """Ids of what stands between two cuts, as bytes, for one tokenizer file."""
     if path not in _CACHES:
         import regex
         from tokenizers import Tokenizer
@@ -142,17 +142,23 @@ def _tokenizer(path: str) -> Recent:
         def of_word(word: str) -> bytes:
             return array("I", [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(_BYTES))]).tobytes()
 
-        known = Recent(of_word)
-
-        def of_part(part: str) -> bytes:
+        def of_key(key: str) -> bytes:
+            """Ids of a space and the key; of the rest alone if the key begins with a space."""
+            if key.isascii() and key.isalpha():
+                return of_word(" " + key)
+            part = key[1:] if key[:1] == " " else " " + key
             # Where all versions of Unicode agree on letters and digits, the words are found here and go to the
             # tokenizer's model one by one; other text goes through the tokenizer on the whole.
-            if _PLAIN.fullmatch(part):
-                return b"".join([known[w] for w in words.findall(part)])
-            return array("I", tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
-
+            if not _PLAIN.fullmatch(part):
+                return array("I", tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+            found = words.findall(part)
+            if len(found) <= 1:
+                return b"".join(map(of_word, found))
+            return b"".join([cache[w[1:] if w[:1] == " " and len(w) > 1 and w[1] != " " else " " + w] for w in found])
+
+        cache = Recent(of_key)
         _CACHES.clear()
-        _CACHES[path] = Recent(of_part)
+        _CACHES[path] = cache
     return _CACHES[path]
 
 
@@ -166,16 +172,16 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     cache, out = _tokenizer(path), []
     for text in texts:
         words = text.split(" ")
-        parts = [words[0]]
+        words[0] = " " + words[0]
         if _ODD.search(text):
+            parts = [words[0]]
             for w in words[1:]:
-                if not w or w[0].isspace() or not parts[-1] or parts[-1][-1].isspace():
+                if not w or w[0].isspace() or parts[-1] == " " or parts[-1][-1].isspace():
                     parts[-1] += " " + w
                 else:
-                    parts.append(" " + w)
-        else:
-            parts += [" " + w for w in words[1:]]
-        ids = b"".join([cache[p] for p in parts])
+                    parts.append(w)
+            words = parts
+        ids = b"".join([cache[w] for w in words])
         out.append(ids)
     return out
 
