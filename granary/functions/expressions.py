@@ -258,6 +258,10 @@ def _call(name: str, args: list[list[Token]], data_type: str | None) -> str:
     text = [_spark(a, data_type) for a in args]
     unit = args[1][0] if len(args) > 1 and len(args[1]) == 1 and args[1][0].kind == "string" else None
     if name == "DATE_TRUNC":
+        first = args[0][0] if args and len(args[0]) == 1 and args[0][0].kind == "string" else None
+        spark = TRUNC_UNITS.get(first.value.upper()) if first else None
+        if spark and (data_type or "").strip().upper() == "DATE":
+            return f"trunc({text[1]}, '{spark}')"  # days only, no time zone in between
         made = f"date_trunc({text[0]}, {text[1]})"
         return f"CAST({made} AS TIMESTAMP_NTZ)"
     if name == "TRUNC":
