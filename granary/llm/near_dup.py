@@ -6,10 +6,10 @@ if its place in the interval is below the shingle's weight, and a register keeps
 Two registers agree with a probability equal to the weighted Jaccard similarity. Processes run only up to a horizon
 at which nearly all registers have a point; documents with an empty one go on with a farther horizon.
 
-Candidates come from bands in rounds, and only between texts not yet connected: first each text and its best band
-pivot, then its other pivots, then the pairs of a bucket across components; buckets that still hold many components
-are split by every second band first. All pairs are verified on the whole texts, and verified links give classes as
-connected components.
+Candidates come from bands in rounds, and only between texts not yet connected: first each text and the best pivot of
+its buckets, then one pivot of each bucket after another against its texts of other components, until few pairs are
+left; then those pairs, buckets that still hold many components split by every second band first. All pairs are verified
+on the whole texts, and verified links give classes as connected components.
 """
 
 from __future__ import annotations
@@ -27,6 +27,12 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 #: Buckets with more components than this are split by a second band before their pairs are made.
 CROWDED = 40
+#: Rounds of stars at most before what is left is paired.
+MAX_ROUNDS = 3
+#: Texts in a block of a large cluster.
+BLOCK = 128
+#: Pairs across components for each open place of a text, up to which pairing them is cheaper than another round.
+FEW = 24
 _TABLE = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -208,63 +214,129 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def text_classes(rows: DataFrame, docs: DataFrame, text_col: str, threshold: float) -> DataFrame:
-    """``id, comp`` of every text that is similar to another one."""
+    """``id, comp`` of every text that shares a band with another one."""
     members = rows.select("id", "n", F.explode("bands").alias("k")).groupBy("k", "id", "n").agg(F.count(F.lit(1)).alias("_c")).drop("_c")
     members = written(members, "members")
-    pivots = members.groupBy("k").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct("id", "n")).alias("_p")).where("_c > 1")
-    shared = members.join(pivots, "k").select("k", "id", "n", F.col("_p.id").alias("pivot"), F.col("_p.n").alias("pivot_n"))
-    shared = written(shared, "shared")
-    wanted = shared.select("id").distinct()
+    full = members.groupBy("k").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("k")
+    shared = written(members.join(full, "k"), "shared")
+    comps = written(shared.select("id", F.col("id").alias("comp")).distinct(), "comps")
     texts = docs.select(text_id(F.col(text_col)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = written(texts.groupBy("id").agg(F.first("text").alias("text")).join(wanted, "id", "left_semi"), "texts")
-
-    stars = (
-        shared.where("id != pivot")
-        .where(_similar_size("n", "pivot_n", threshold))
-        .groupBy(F.col("id").alias("a"), F.col("pivot").alias("b"))
-        .agg(F.count(F.lit(1)).alias("bands"))
-        .checkpoint()
-    )
-    best = stars.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("_m")).select("a", F.col("_m.b").alias("b"))
-    links = verified(best, texts, threshold).checkpoint()
-    comps = components(links).checkpoint()
+    texts = written(texts.groupBy("id").agg(F.first("text").alias("text")).join(comps.select("id"), "id", "left_semi"), "texts")
+
+    codes = rows.select("id", "bands")
 
-    def across(pairs: DataFrame) -> DataFrame:
-        """Pairs whose texts aren't in one component yet."""
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Pairs with two common bands: at the threshold all but one in 20,000, of much less similar texts few."""
+        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        own = codes.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("bands").alias("bands"))
+        x, y = own.select(F.col("id").alias("a"), F.col("bands").alias("_x")), own.select(F.col("id").alias("b"), F.col("bands").alias("_y"))
+        return pairs.join(x, "a").join(y, "b").where(F.size(F.array_intersect("_x", "_y")) > 1).select("a", "b")
+
+    def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+        """Components joined by new links."""
         of = lambda side: comps.select(F.col("id").alias(side), F.col("comp").alias(f"_{side}"))
-        known = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return known.where(~F.coalesce("_a", "a").eqNullSafe(F.coalesce("_b", "b"))).select("a", "b")
-
-    rest = across(stars.join(best, ["a", "b"], "left_anti").select("a", "b"))
-    links = links.union(verified(rest, texts, threshold)).checkpoint()
-    comps = components(links).checkpoint()
-
-    # What is left are buckets with several components whose pivot is similar to some of them only.
-    placed = shared.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")).select("k", "id", "n", "comp")
-    mixed = placed.groupBy("k").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.approx_count_distinct("comp").alias("_comps")).where("_lo != _hi")
-    open_ = placed.join(mixed.select("k", "_comps"), "k").checkpoint()
-    few = open_.where(F.col("_comps") <= CROWDED).select("k", "id", "n", "comp")
-    crowded = open_.where(F.col("_comps") > CROWDED).select("k", "id", "n", "comp")
-    second = rows.select("id", "bands").join(crowded.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("bands").alias("bands"))
+        between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a != b").distinct()
+        moved = components(between).select(F.col("id").alias("comp"), F.col("comp").alias("_to"))
+        return comps.join(moved, "comp", "left").select("id", F.coalesce("_to", "comp").alias("comp")).checkpoint()
+
+    def still_open(placed: DataFrame) -> DataFrame:
+        """Buckets whose texts are in several components."""
+        mixed = placed.groupBy("k").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("k")
+        return placed.join(mixed, "k").checkpoint()
+
+    # Rounds of stars: a bucket's pivot is held against all its texts of other components, then leaves the bucket,
+    # as all its pairs there are tested. Each round is linear in what is open.
+    open_ = shared.join(comps, "id").select("k", "id", "n", "comp")
+    for turn in range(MAX_ROUNDS):
+        pivots = open_.groupBy("k").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("_h"), "id", "n", "comp")).alias("_p"))
+        starred = open_.join(pivots, "k").select("k", "id", "n", "comp", F.col("_p.id").alias("b"), F.col("_p.n").alias("_m"), F.col("_p.comp").alias("_pc"))
+        stars = starred.where(F.col("comp") != F.col("_pc")).where(_similar_size("n", "_m", threshold)).groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("bands"))
+        if turn == 0:  # most texts need no more than their best pivot
+            stars = stars.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("_m")).select("a", F.col("_m.b").alias("b"))
+        comps = merged(comps, verified(likely(stars.select("a", "b").checkpoint()), texts, threshold).checkpoint())
+        # After the first round a pivot hasn't met all texts of its bucket yet, so it stays.
+        rest = open_ if turn == 0 else starred.where("id != b")
+        open_ = still_open(rest.select("k", "id", "n").join(comps, "id").select("k", "id", "n", "comp"))
+        sizes = open_.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("k")
+        left = sizes.agg(F.sum("c").alias("s"), F.sum(F.expr("c * c")).alias("q")).agg(F.sum(F.expr("(s * s - q) / 2.0")), F.sum("s")).first()
+        if not left[1] or turn and left[0] <= FEW * left[1]:
+            break
+    if not left[1]:
+        return comps
+
+    # What is left falls into clusters of texts that share open buckets. In a large one whose texts share most of its
+    # buckets, blocks of texts meet in pairs; elsewhere pairs come from the buckets, crowded ones split by a second band.
+    first = open_.groupBy("k").agg(F.min("id").alias("b"))
+    clusters = components(open_.join(first, "k").select(F.col("id").alias("a"), "b")).withColumnRenamed("comp", "g")
+    placed = open_.join(clusters, "id").checkpoint()
+    per_bucket = placed.groupBy("g", "k", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("g", "k").agg(F.sum("c").alias("s"), F.sum(F.expr("c * c")).alias("q"))
+    weight = per_bucket.groupBy("g").agg(F.sum(F.expr("(s * s - q) / 2.0")).alias("_pairs"))
+    size = clusters.groupBy("g").agg(F.count(F.lit(1)).alias("_texts"))
+    dense = size.join(weight, "g").where((F.col("_texts") > CROWDED) & (F.expr("_texts * (_texts - 1) / 2.0") <= 1.5 * F.col("_pairs"))).select("g", "_texts").checkpoint()
+
+    bands = codes.join(open_.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("bands").alias("bands"))
+    inside = clusters.join(dense, "g").join(comps, "id").join(bands, "id")
+    blocks = F.ceil(F.col("_texts") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(3)), blocks).cast("int")
+    dealt = inside.select("id", "g", "comp", "bands", own.alias("_own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
+    dealt = dealt.select("g", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "id", "comp", "bands").join(texts, "id")
+    links = dealt.groupBy("g", "_i", "_j").applyInPandas(lambda key, part: block_links(key, part, threshold), "a binary, b binary")
+
+    told = placed.join(dense, "g", "left_anti")
+    counts = told.groupBy("k").agg(F.approx_count_distinct("comp").alias("_comps"))
+    told = told.join(counts, "k").join(bands, "id")
+    few = told.where(F.col("_comps") <= CROWDED).select("k", "id", "n", "comp", "bands")
     split = (
-        crowded.join(second, "id")
-        .select("id", "n", "comp", "k", F.explode("bands").alias("_k2"))
+        told.where(F.col("_comps") > CROWDED)
+        .withColumn("_k2", F.explode("bands"))
         .where("_k2 != k")
-        .select(F.xxhash64(F.least("k", "_k2"), F.greatest("k", "_k2")).alias("k"), "id", "n", "comp")
-        .distinct()
+        .select(F.xxhash64(F.least("k", "_k2"), F.greatest("k", "_k2")).alias("k"), "id", "n", "comp", "bands")
+        .groupBy("k", "id", "n", "comp", "bands")
+        .agg(F.count(F.lit(1)).alias("_c"))
+        .drop("_c")
     )
 
-    def pairs_of(buckets: DataFrame) -> DataFrame:
-        x = buckets.select("k", F.col("id").alias("a"), F.col("n").alias("_n"), F.col("comp").alias("_ca"))
-        y = buckets.select("k", F.col("id").alias("b"), F.col("n").alias("_m"), F.col("comp").alias("_cb"))
-        joined = x.join(y, (x.k == y.k) & (x.a < y.b) & (F.col("_ca") != F.col("_cb")) & _similar_size("_n", "_m", threshold))
-        return joined.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_agree"))
-
-    # Two texts at the threshold share fewer than two of the bands once in 20,000 times.
-    pairs = pairs_of(few).where("_agree > 1").select("a", "b").union(pairs_of(split).select("a", "b")).distinct()
-    tested = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = verified(pairs.join(tested, ["a", "b"], "left_anti"), texts, threshold).checkpoint()
-    return components(links.union(more)) if more.limit(1).count() else comps
+    def pairs_of(buckets: DataFrame, at: str) -> DataFrame:
+        """Pairs with two common bands, each from one bucket alone: that of its first band, or of its first two."""
+        x = buckets.select("k", F.col("id").alias("a"), F.col("n").alias("_n"), F.col("comp").alias("_ca"), F.col("bands").alias("_x"))
+        y = buckets.select(F.col("k").alias("_k"), F.col("id").alias("b"), F.col("n").alias("_m"), F.col("comp").alias("_cb"), F.col("bands").alias("_y"))
+        common = F.array_intersect("_x", "_y")
+        near = (x.k == y._k) & (x.a < y.b) & (F.col("_ca") != F.col("_cb")) & _similar_size("_n", "_m", threshold)
+        one, two = F.get(common, F.lit(0)), F.get(common, F.lit(1))
+        here = one == F.col("k") if at == "first" else F.xxhash64(F.least(one, two), F.greatest(one, two)) == F.col("k")
+        return x.join(y, near & (F.size(common) > 1) & here).select("a", "b")
+
+    pairs = pairs_of(few, "first").union(pairs_of(split, "both")).distinct()
+    return merged(comps, verified(pairs, texts, threshold).union(links).checkpoint())
+
+
+def block_links(key: tuple, part: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links between texts of two blocks (or of one) that aren't connected yet, enough to connect what is similar."""
+    bags = [shingles(t) for t in part["text"]]
+    total = np.array([int(w.sum()) for _, w in bags])
+    bands = np.array(part["bands"].tolist(), dtype=np.int64).reshape(len(part), -1)
+    ids, group = list(part["id"]), list(part["comp"])
+    left = np.flatnonzero((part["_own"] == key[1]).to_numpy())
+    right = np.flatnonzero((part["_own"] == key[2]).to_numpy())
+    parent: dict = {}
+
+    def find(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for i in left:
+        near = (bands[right] == bands[i]).sum(axis=1) > 1
+        near &= np.minimum(total[right], total[i]) >= (threshold - 1e-9) * np.maximum(total[right], total[i])
+        for j in right[near]:
+            if key[1] == key[2] and j <= i:
+                continue
+            a, b = find(group[i]), find(group[j])
+            if a != b and similarity(bags[i], bags[j]) >= threshold - 1e-12:
+                parent[a] = b
+                out.append((ids[i], ids[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=object)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
