@@ -10,11 +10,17 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable by the Python workers of a session, once per application."""
+    """Make this package importable by a session's Python workers, once per application, and keep their batches small.
+
+    A worker holds a batch several times over, as Arrow, pandas and Python objects; texts may be long.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
@@ -33,7 +39,7 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder: ``spark.checkpoint.dir`` where the session has it, else one set here (tests)."""
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
         configured = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         sc.setCheckpointDir(configured)

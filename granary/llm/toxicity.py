@@ -141,7 +141,7 @@ class Lexicon:
         if found is None:
             weight = self.words.get(word) or max((self.stems.get(word[:n], 0.0) for n in STEM_LENGTHS if len(word) > n), default=0.0)
             found = (INSULT, weight) if weight else (_CLOSED.get(word, ""), 0.0)
-            if len(self.known) > 400_000:
+            if len(self.known) > 150_000:
                 self.known.clear()
             self.known[word] = found
         return found
@@ -250,7 +250,7 @@ def train(
 
         for batch in batches:
             for text, y in zip(batch["_text"], batch["_y"], strict=True):
-                if len(seen) > 200_000:
+                if len(seen) > 100_000:
                     yield flushed()
                 for words in clauses(text):
                     for i, w in enumerate(words):
