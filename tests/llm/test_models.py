@@ -1,4 +1,5 @@
 import math
+import pickle
 import random
 import re
 import zlib
@@ -102,6 +103,23 @@ def test_base_scores_are_exact(spark, most_heavy):
     assert by[2].score > by[2].base_score  # a copy of what was learned
 
 
+def test_filter_grows_with_its_input(spark):
+    rng = random.Random(6)
+    rows = [(k, " ".join(f"v{rng.randrange(20_000)}" for _ in range(100))) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    vocab = lm_score.vocabulary(docs, "text").cache()
+    # So many bits that all n-grams take more than 800 million: none may go, and none of it goes with the model.
+    model = lm_score.train(docs, vocab, bits_per_item=24_000)
+    assert int(model.table.bits.sum()) > 800_000_000 and (model.table.least == 1).all()
+    words, counts = lm_score.Words(), Counter()
+    for _, some, starts in lm_score.chunks(t for _, t in rows):
+        h, _ = words.rows(some)
+        counts.update(np.concatenate([lm_score.mix64(h + lm_score._M1), lm_score.bigrams(h, starts)]).tolist())
+    told = model.table.levels(np.array(list(counts), np.uint64))
+    assert (told >= lm_score.level_of(np.array(list(counts.values())))).all()
+    assert len(pickle.dumps(model.table)) < 100_000
+
+
 def test_empty_training(spark):
     assert lm_score.learn_and_score(empty(spark), fold_of("doc_id", 7) == 2).count() == 0
     got = lm_score.learn_and_score(messy(spark), F.lit(True)).collect()
