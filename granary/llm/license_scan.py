@@ -1,10 +1,11 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a run of at most ``block_words`` words of a line; blocks of a longer line overlap by half. Template
-tokens are ordered by their document frequency over the whole corpus, rarest first. A block can only reach
-containment ``t`` of a template of n tokens if it has one of the template's first n - ceil(t n) + 1 tokens
-(prefix filter), has ceil(t n) tokens at all (length filter) and, from its first common token on, enough of the
-template is left (positional filter). What passes is verified, so exactly the matching pairs are found.
+A block is a run of at most ``block_words`` words of a text, line ends counting as white space, as notices are
+wrapped over lines; blocks of a longer text overlap by half, so by the longest template at least. Template tokens
+are ordered by their document frequency over the whole corpus, rarest first. A block can only reach containment
+``t`` of a template of n tokens if it has one of the template's first n - ceil(t n) + 1 tokens (prefix filter), has
+ceil(t n) tokens at all (length filter) and, from its first common token on, enough of the template is left
+(positional filter). What passes is verified, so exactly the matching pairs are found.
 """
 
 from __future__ import annotations
@@ -39,7 +40,6 @@ TEMPLATES = {
 MAX_TEMPLATE_TOKENS = 100_000
 #: Bytes of words: digits, lower-case letters (upper-case ones are lowered) and all above 0x7F; others part words.
 _TABLE = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-_LINES = bytes(0x0A if b == 0x0A else _TABLE[b] for b in range(256))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -81,13 +81,10 @@ class TemplateIndex:
         return found
 
 
-def blocks_of(text: str, block_words: int):
-    for line in text.encode().translate(_LINES).split(b"\n"):
-        words = line.split()
-        step = max(1, block_words // 2)
-        for at in range(0, max(1, len(words) - step), step):
-            if words:
-                yield set(words[at : at + block_words])
+def blocks_of(words: list[bytes], block_words: int):
+    step = max(1, block_words // 2)
+    for at in range(0, max(1, len(words) - step), step):
+        yield set(words[at : at + block_words])
 
 
 def token_frequencies(docs: DataFrame, text_col: str, tokens: set[bytes]) -> dict[bytes, int]:
@@ -130,7 +127,7 @@ def scan(
     if len(tokens) > MAX_TEMPLATE_TOKENS:
         raise ValueError(f"the templates have more than {MAX_TEMPLATE_TOKENS} tokens")
     index = TemplateIndex(templates, token_frequencies(docs, text_col, tokens), threshold)
-    if any(2 * n > block_words for n in index.sizes.values()):
+    if any(2 * len(words_of(t)) > block_words for t in templates.values()):
         raise ValueError("a block must hold twice the longest template")
     phrases = [(b" " + b" ".join(words_of(p)) + b" ", label) for p, label in PHRASES.items()]
     kind = docs.schema[id_col].dataType.simpleString()
@@ -151,7 +148,7 @@ def scan(
                         at = joined.find(phrase, at + 1)
                 best: dict[str, float] = {}
                 if not keys.isdisjoint(words):
-                    for block in blocks_of(text, block_words):
+                    for block in blocks_of(words, block_words):
                         for name, share in index.match(block).items():
                             best[name] = max(share, best.get(name, 0.0))
                 rows.append(

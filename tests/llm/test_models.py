@@ -206,6 +206,22 @@ def test_license_base(spark):
     assert license_scan.scan(empty(spark)).count() == 0 and license_scan.scan(messy(spark), templates={}).count() == len(texts())
 
 
+WRAPPED = {
+    "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+    "apache-2.0-notice": " * Licensed under the Apache License,\n * Version 2.0 (the \"License\"); you may not\n * use this file except in compliance\n * with the License.",
+    "gpl-notice": "# This program is free software: you can redistribute it and/or\r\n# modify it under the terms of the\r\n# GNU General Public License",
+    "bsd-redistribution": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the\nfollowing conditions are met:",
+    "mit-line": "Released under\nthe MIT License.",
+}
+
+
+def test_notices_over_several_lines(spark):
+    rows = [(name, pad + text) for name, text in WRAPPED.items() for pad in ("", "int k;\n" * 63, "word\n" * 250, "word " * 380)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(got) == len(rows) and all(r.doc_id in r.labels.split(",") for r in got)
+    assert all(r.score >= 0.85 for r in got)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sets(st.sampled_from("abcdefghij"), min_size=1, max_size=8), min_size=1, max_size=5), st.sets(st.sampled_from("abcdefghijkl"), max_size=12), st.sampled_from([0.3, 0.5, 0.8, 1.0]), st.randoms())
 def test_set_join_is_exact(templates, block, threshold, rng):
