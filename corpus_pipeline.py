@@ -32,17 +32,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which the mix takes words, as often as it takes them.
 
-    Documents stay whole: one whose words are taken r times over on the average stands floor(r) times, and once
-    more with the probability of r's fraction, by a hash of its id. So a source's words come near its target.
+    A document stands 0 to 3 times. Those of up to ``mixing.LONG`` words stay whole, and what that gives too much or
+    too little is made up for by others of the shard; of a longer one the last copy is cut to the words still taken.
+    So the words of each shard, and of each source, come to their quota but for half such a document a shard.
     """
-    share = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0)
-    dice = F.pmod(F.xxhash64(F.lit(23), F.col("doc_id").cast("string")), F.lit(1 << 32)) / float(1 << 32)
-    times = (F.floor(share) + F.when(dice < share - F.floor(share), 1).otherwise(0)).cast("int")
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), times.alias("_times")).where("_times > 0")
-    taken = taken.groupBy("_id").agg(F.max("_times").alias("_times"))
-    found = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
-    times = F.explode(F.sequence(F.lit(1), F.col("_times")))
-    return found.withColumn("_time", times).select(*[docs[c] for c in docs.columns])
+    given = mixing.given(mixing.mix(docs))
+    sized = docs.withColumn("_words", mixing.word_count(F.col("text")))
+    same = sized["doc_id"].cast("string").eqNullSafe(given["_id"]) & sized["source"].cast("string").eqNullSafe(given["_source"])
+    found = sized.join(given, same & (sized["_words"] == given["_size"]))
+    cut = F.when(F.col("_cut") > 0, F.array("_cut")).otherwise(F.array().cast("array<int>"))
+    found = found.withColumn("_first", F.explode(F.concat(F.array_repeat(F.lit(0), F.col("_times")), cut)))
+    found = found.withColumn("_part", mixing.first_words(F.when(F.col("_first") > 0, F.col("text")), F.col("_first")))
+    new = {"text": F.coalesce("_part", "text"), "n_chars": F.when(F.col("_first") > 0, F.length("_part").cast("long")).otherwise(F.col("n_chars"))}
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ of blocks by a seeded permutation, whole passes first.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,6 +24,9 @@ from granary.llm.common import shared_dir, ship
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
 MAX_SOURCES = 100_000
+#: Documents of more words may be given in part; packing cuts them in any case.
+LONG = 1024
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549)
 
 
@@ -160,3 +165,47 @@ def mix(
         .join(F.broadcast(quota), ["_i", "shard"])
         .select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "shard")
     )
+
+
+@F.pandas_udf(T.StringType())
+def first_words(text: pd.Series, n: pd.Series) -> pd.Series:
+    """A text up to the end of its n-th word; null stays null."""
+
+    def cut(t, k):
+        if t is None:
+            return None
+        end = 0
+        for word in itertools.islice(_WORD.finditer(t), int(k)):
+            end = word.end()
+        return t[:end]
+
+    return pd.Series([cut(t, k) for t, k in zip(text, n, strict=True)], dtype=object)
+
+
+def given(mixed: DataFrame, long_words: int = LONG) -> DataFrame:
+    """``_id, _source, _size, _times, _cut``: how often a document stands whole, and how many first words once more.
+
+    In a shard, largest documents first, what rounding to whole documents leaves owed or given too much goes on to
+    the next, so at its end the words differ from its quota by half a document of ``long_words`` at most. Longer
+    documents give exactly the words taken from them, the last of their copies cut. A document taken whole or not
+    at all stays so. Rows that share id, source and size are given alike.
+    """
+    units = mixed.groupBy("source", "shard", F.col("doc_id").cast("string").alias("_id"), F.col("size").alias("_size")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum("taken").alias("_taken")
+    )
+
+    def settle(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["_size", "_id"], ascending=[False, True], ignore_index=True)
+        times, cuts, owed = [], [], 0
+        for size, rows, taken in zip(part["_size"].tolist(), part["_rows"].tolist(), part["_taken"].tolist(), strict=True):
+            whole, rest = divmod(taken, rows * size)
+            cut = rest // rows if size > long_words else 0
+            owed += rest - cut * rows
+            if rest and not cut and 2 * owed >= rows * size:
+                whole, owed = whole + 1, owed - rows * size
+            times.append(whole)
+            cuts.append(cut)
+        return pd.DataFrame({"_id": part["_id"], "_source": part["source"], "_size": part["_size"], "_times": times, "_cut": cuts})
+
+    done = units.where("_taken > 0").groupBy("source", "shard").applyInPandas(settle, "_id string, _source string, _size long, _times int, _cut int")
+    return done.where("_times > 0 OR _cut > 0")

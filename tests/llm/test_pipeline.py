@@ -1,8 +1,11 @@
 """The pipeline's stages, one by one and on the whole."""
 
+from collections import Counter
+
 import pytest
 
 import corpus_pipeline
+from granary.llm import mixing
 from granary.llm.near_dup import shingles, similarity
 
 
@@ -49,6 +52,33 @@ def test_stages(spark, folder):
     assert mixed.columns == columns and max(r["count"] for r in mixed.groupBy("doc_id").count().collect()) <= 3
 
 
+def test_words_of_sources_come_to_their_targets(spark):
+    import random
+
+    rng = random.Random(3)
+    long = lambda n: "  ".join(f"w{rng.randrange(9000)}" for _ in range(n)) + "\n"
+    rows = [(k, long(40_000), "b") for k in range(3)] + [(10 + k, long(90_000), "c") for k in range(2)]
+    rows += [(100 + k, long(rng.randint(20, 600)), "a") for k in range(400)] + [(1000 + k, long(rng.randint(20, 600)), "b") for k in range(30)]
+    rows += [(2000, long(50), "b"), (2000, long(50), "b"), (None, long(70), None), (2001, "", "a")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    texts = {(i, s): t for i, t, s in rows}
+    mixed, got = mixing.mix(docs).collect(), corpus_pipeline.mix_sources(spark, docs, "").collect()
+    words, copies = Counter(), Counter()
+    for r in got:
+        assert r.n_chars == len(r.text)
+        if r.doc_id != 2000:
+            whole = texts[r.doc_id, r.source]
+            assert whole == r.text or whole.startswith(r.text) and len(whole.split()) > mixing.LONG
+        words[r.source] += len(r.text.split())
+        copies[r.doc_id] += 1
+    assert max(n for i, n in copies.items() if i != 2000) <= 3
+    for source in ("a", "b", "c", None):
+        mine = [r for r in mixed if r.source == source]
+        shards = len({r.shard for r in mine})
+        assert abs(words[source] - sum(r.taken for r in mine)) <= mixing.LONG / 2 * shards
+        assert abs(words[source] - mine[0].target) <= (mixing.LONG / 2 + 64) * shards
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder).collect()
     assert out and all(r.offset + r.length <= 1024 for r in out)
