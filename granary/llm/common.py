@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -56,6 +56,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def one_row_each(docs: DataFrame, own: Column, id_col: str, text_col: str, kept: DataFrame) -> DataFrame:
+    """For each row of ``kept`` (``_kept_id, _kept_text, _copies``), one row of ``docs`` with its id and text key ``own``.
+
+    Of several rows the one with most code points stays, then the largest by all columns in order.
+    """
+    kept, row = written(kept, "kept"), [F.col(f"`{c}`") for c in docs.columns]
+    own_id = F.col(id_col).cast(kept.schema["_kept_id"].dataType)
+    keyed, same = docs.withColumn("_own_text", own), own_id.eqNullSafe(F.col("_kept_id")) & (F.col("_own_text") == F.col("_kept_text"))
+    single = keyed.join(kept.where("_copies = 1"), same, "left_semi").select(*row)
+    if kept.where("_copies > 1").isEmpty():
+        return single
+    best = F.max(F.struct(F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"), F.struct(*row).alias("row"))).alias("_best")
+    several = keyed.join(kept.where("_copies > 1"), same).groupBy("_kept_text", "_kept_id").agg(best)
+    return single.union(several.select("_best.row.*"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.common import one_row_each
+
 WHITE = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
 _STEP = "CAST(36893488147419103232 AS DECIMAL(20,0))"  # 2^65
 _HALF = "CAST(9223372036854775808 AS DECIMAL(20,0))"  # 2^63
@@ -75,15 +77,11 @@ def duplicate_groups(
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, exactly one of each group, with all their columns.
 
-    Rows that repeat a kept id and text stay together; a row whose id was kept for another text doesn't.
+    Of rows that repeat the kept id within a group, and of a group whose ids are all null, the one with most code
+    points stays, then the largest by all columns in order; a row whose id was kept for another text doesn't.
     """
-    groups = duplicate_groups(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")
-    ).distinct()
-    sha = F.sha2(without_white(F.col(text_col)).cast("binary"), 256)
-    joined = docs.withColumn("_sha", sha).join(
-        groups, (F.col("_sha") == F.col("_keep_sha")) & F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")), "left_semi"
-    )
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    groups = duplicate_groups(docs, id_col, text_col).where("kept")
+    kept = groups.groupBy(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text")).agg(F.count(F.lit(1)).alias("_copies"))
+    return one_row_each(docs, F.sha2(without_white(F.col(text_col)).cast("binary"), 256), id_col, text_col, kept)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import shared_dir, ship, written
+from granary.llm.common import one_row_each, shared_dir, ship, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -339,6 +339,18 @@ def block_links(key: tuple, part: pd.DataFrame, threshold: float) -> pd.DataFram
     return pd.DataFrame(out, columns=["a", "b"], dtype=object)
 
 
+def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """``doc_id, id, _class, class_id, class_size`` of every row; ``id`` stands for its text, ``_class`` for its class."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared_dir(spark)
+    rows = written(signed(docs, id_col, text_col), "signed")
+    comps = text_classes(rows, docs, text_col, threshold)
+    classed = rows.select("doc_id", "id").join(comps, "id", "left").select("doc_id", "id", F.coalesce("comp", "id").alias("_class"))
+    sizes = classed.groupBy("_class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return classed.join(sizes, "_class")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: ``doc_id, class_id, class_size, kept, text_id``.
 
@@ -351,23 +363,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are kept); rows that repeat an id share its verdict; an empty table gives an empty result; other columns are
     ignored.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    shared_dir(spark)
-    rows = written(signed(docs, id_col, text_col), "signed")
-    comps = text_classes(rows, docs, text_col, threshold)
-    classed = rows.select("doc_id", "id").join(comps, "id", "left").select("doc_id", "id", F.coalesce("comp", "id").alias("_class"))
-    sizes = classed.groupBy("_class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return classed.join(sizes, "_class").select(
+    return classes(docs, id_col, text_col, threshold).select(
         "doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), F.lower(F.hex("id")).alias("text_id")
     )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each class, with all their columns."""
-    kept = near_duplicates(docs, id_col, text_col, threshold).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_id").alias("_kept_text")).distinct()
-    own = F.lower(F.hex(text_id(F.col(text_col))))
-    joined = docs.withColumn("_own_text", own).join(
-        kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_own_text") == F.col("_kept_text")), "left_semi"
-    )
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that stay, exactly one of each class, with all their columns.
+
+    Of a class's rows with the kept id, which may be null, those with the smallest text id count; if they repeat,
+    the largest by all columns in order stays.
+    """
+    kept = classes(docs, id_col, text_col, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    kept = kept.groupBy("_class", "doc_id", "id").agg(F.count(F.lit(1)).alias("_copies"))
+    kept = kept.groupBy("_class").agg(F.min(F.struct("id", "doc_id", "_copies")).alias("_m"))
+    kept = kept.select(F.col("_m.doc_id").alias("_kept_id"), F.col("_m.id").alias("_kept_text"), F.col("_m._copies").alias("_copies"))
+    return one_row_each(docs, text_id(F.col(text_col)), id_col, text_col, kept)

@@ -1,5 +1,6 @@
 import hashlib
 import re
+from collections import Counter
 from urllib.parse import urlsplit
 
 import pytest
@@ -37,6 +38,21 @@ def test_exact_empty_and_drop(spark):
     assert ids == [1, 4, 7, 8, 9, 10, 11, 13, 14, None]
 
 
+def test_one_row_of_each_group_stays(spark):
+    far = " ".join(f"u{k}" for k in range(60))
+    near = " ".join(f"u{k}" if k != 59 else "v" for k in range(60))
+    rows = [(1, "same text"), (1, "same text"), (1, "same  text"), (2, "same text"), (3, "alone here")]
+    rows += [(None, "no id"), (None, "no id"), (None, "no  id"), (4, far), (4, far), (5, near), (6, None), (6, None)]
+    rows += [(7, far.replace("u", "x")), (7, near.replace("u", "x"))]
+    df = spark.createDataFrame([(i, t, k % 3) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int").repartition(3)
+    exact = drop_duplicates(df)
+    assert exact.columns == df.columns
+    want = [(1, "same  text"), (3, "alone here"), (None, "no  id"), (4, far), (5, near), (6, None), rows[-1], rows[-2]]
+    assert Counter((r.doc_id, r.text) for r in exact.collect()) == Counter(want)
+    got = Counter(r.doc_id for r in drop_near_duplicates(df.where("text NOT LIKE '%  %' OR text IS NULL")).collect())
+    assert got == Counter({1: 1, 3: 1, None: 1, 4: 1, 6: 1, 7: 1})
+
+
 def test_near_duplicates_equal_brute_force(spark):
     got = {(r.doc_id, r.text_id): r for r in near_duplicates(messy(spark)).collect()}
     rows = [(i, t or "") for i, t, *_ in texts()]
