@@ -23,6 +23,7 @@ from granary.llm.common import ship, written
 
 END_ID = 2
 _CACHES: dict[str, Recent] = {}
+_LOADED: dict[str, tuple] = {}
 _MOST_CACHED = 700_000
 _LONG = 64
 #: The byte-level pre-tokenizer's word pattern, and characters of which all Unicode versions agree.
@@ -162,15 +163,34 @@ def _tokenizer(path: str) -> Recent:
     return _CACHES[path]
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
+def _as_loaded(path: str):
+    """A tokenizer file's tokenizer, nothing set, and a search for its added tokens (None without any)."""
+    if path not in _LOADED:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        _LOADED.clear()
+        _LOADED[path] = tokenizer, re.compile("|".join(map(re.escape, added))).search if added else None
+    return _LOADED[path]
+
+
+def encode(texts: list[str], path: str, added: bool = False) -> list[bytes]:
     """The ids of each text, as little-endian unsigned 32-bit numbers.
 
+    With ``added``, a text that holds one of the tokenizer's added tokens goes through it whole, so that they get
+    their ids; otherwise their strings are ordinary text.
+
     The byte-level pre-tokenizer always cuts before a space that stands between two characters that are not
     white space, so what lies between such spaces is encoded once and remembered. A text with other runs of
     white space around a space is joined back there before it is looked up.
     """
     cache, out = _tokenizer(path), []
+    whole, holds = _as_loaded(path) if added else (None, None)
     for text in texts:
+        if holds and holds(text):
+            out.append(np.asarray(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            continue
         words = text.split(" ")
         words[0] = " " + words[0]
         if _ODD.search(text):
@@ -197,7 +217,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             texts = [t or "" for t in batch["_text"]]
             keys = list(batch["doc_id"])
             for at in range(0, len(texts), 256):
-                for key, ids in zip(keys[at : at + 256], encode(texts[at : at + 256], tokenizer_path), strict=True):
+                for key, ids in zip(keys[at : at + 256], encode(texts[at : at + 256], tokenizer_path, added=True), strict=True):
                     ids += end
                     n = len(ids) // 4
                     first = n % capacity or capacity

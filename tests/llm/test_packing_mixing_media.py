@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from granary.llm.media import UNIT, from_png, media_columns, payload_of, png_header, read_headers, store, to_png
 from granary.llm.mixing import mix, sainte_lague, targets
-from granary.llm.packing import SegmentTree, best_fit_decreasing, encode, pack
+from granary.llm.packing import SegmentTree, best_fit_decreasing, encode, pack, pieces
 from granary.llm.queries import tokenizer_path
 from tests.llm.messy import empty, messy, texts
 
@@ -90,6 +90,19 @@ def test_segment_tree():
     assert t.tightest(8) == -1
 
 
+def test_pieces_equal_the_tokenizer_as_loaded(spark):
+    from tokenizers import Tokenizer
+
+    loaded = Tokenizer.from_file(tokenizer_path())
+    some = [*ODD, "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "<|endoftext", "a " * 700 + "<|endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pieces(docs, tokenizer_path()).collect()}
+    for k, text in enumerate(some):
+        want = array("I", loaded.encode(text, add_special_tokens=False).ids) + array("I", [2])
+        assert (got[k].length, got[k].ids_crc32) == (len(want), zlib.crc32(want.tobytes()))
+    assert loaded.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 def test_pack(spark, tokenizer):
     rows = pack(messy(spark), tokenizer_path(), capacity=256, ranks_a_group=5).collect()
     by_text = defaultdict(list)
