@@ -1,11 +1,12 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
 A block is a run of at most ``block_words`` words of a text, line ends counting as white space, as notices are
-wrapped over lines; blocks of a longer text overlap by half, so by the longest template at least. Template tokens
+wrapped over lines; blocks of a longer text overlap by the widest such run of a template. Template tokens
 are ordered by their document frequency over the whole corpus, rarest first. A block can only reach containment
 ``t`` of a template of n tokens if it has one of the template's first n - ceil(t n) + 1 tokens (prefix filter), has
 ceil(t n) tokens at all (length filter) and, from its first common token on, enough of the template is left
-(positional filter). What passes is verified, so exactly the matching pairs are found.
+(positional filter). What passes is verified, so exactly the matching pairs are found. A match counts if the words
+stand together, within a run of ``SLACK`` times the template's words, and if none of its deciding words is missing.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ TEMPLATES = {
     "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
 }
 MAX_TEMPLATE_TOKENS = 100_000
+#: A notice may take so many times the words of its template.
+SLACK = 2
+#: Templates of at most so many distinct words match whole; of longer ones, words with digits must be there.
+SHORT = 8
 #: Bytes of words: digits, lower-case letters (upper-case ones are lowered) and all above 0x7F; others part words.
 _TABLE = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
@@ -81,10 +86,35 @@ class TemplateIndex:
         return found
 
 
-def blocks_of(words: list[bytes], block_words: int):
-    step = max(1, block_words // 2)
-    for at in range(0, max(1, len(words) - step), step):
-        yield set(words[at : at + block_words])
+def blocks_of(words: list[bytes], block_words: int, widest: int):
+    """Runs of words, such that every run of ``widest`` is within one."""
+    step = max(1, block_words - widest + 1)
+    for at in range(0, max(1, len(words) - block_words + step), step):
+        yield words[at : at + block_words]
+
+
+def deciding(template: str) -> set[bytes]:
+    """Words of a template that may not be missing, as they tell licenses apart."""
+    tokens = set(words_of(template))
+    return tokens if len(tokens) <= SHORT else {t for t in tokens if any(0x30 <= b <= 0x39 for b in t)}
+
+
+def closest(words: list[bytes], tokens: set[bytes], needed: set[bytes], width: int) -> int:
+    """The most of ``tokens`` that a run of ``width`` words has, among runs with all of ``needed``."""
+    held, lacking, best = {}, len(needed), 0
+    for at, word in enumerate(words):
+        if word in tokens:
+            held[word] = held.get(word, 0) + 1
+            lacking -= held[word] == 1 and word in needed
+        if at >= width and (old := words[at - width]) in tokens:
+            if held[old] == 1:
+                del held[old]
+                lacking += old in needed
+            else:
+                held[old] -= 1
+        if not lacking:
+            best = max(best, len(held))
+    return best
 
 
 def token_frequencies(docs: DataFrame, text_col: str, tokens: set[bytes]) -> dict[bytes, int]:
@@ -114,8 +144,8 @@ def scan(
     """One row per document: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
     ``n_base`` counts the places of all phrases, ``first_word`` and ``last_word`` are the smallest and largest
-    of their starts. ``labels`` adds the templates that a block contains to ``threshold`` of their distinct
-    tokens. ``score`` is 1 with a phrase, else the largest containment that reached the threshold, else 0.
+    of their starts. ``labels`` adds the templates of whose distinct tokens a run of SLACK times their words has
+    ``threshold``, deciding ones all; those of at most SHORT tokens match whole. ``score`` is 1 with a phrase, else the largest containment that reached the threshold, else 0.
 
     Defined cases: a null or empty text has no words and no labels; repeated rows and null ids give a row each;
     an empty table gives an empty result; other columns are ignored. The templates, up to MAX_TEMPLATE_TOKENS
@@ -127,8 +157,10 @@ def scan(
     if len(tokens) > MAX_TEMPLATE_TOKENS:
         raise ValueError(f"the templates have more than {MAX_TEMPLATE_TOKENS} tokens")
     index = TemplateIndex(templates, token_frequencies(docs, text_col, tokens), threshold)
-    if any(2 * len(words_of(t)) > block_words for t in templates.values()):
-        raise ValueError("a block must hold twice the longest template")
+    width = {name: SLACK * len(words_of(t)) for name, t in templates.items()}
+    if any(n > block_words for n in width.values()):
+        raise ValueError(f"a block must hold {SLACK} times the longest template")
+    widest, must = max(width.values(), default=0), {name: deciding(t) for name, t in templates.items()}
     phrases = [(b" " + b" ".join(words_of(p)) + b" ", label) for p, label in PHRASES.items()]
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -148,9 +180,11 @@ def scan(
                         at = joined.find(phrase, at + 1)
                 best: dict[str, float] = {}
                 if not keys.isdisjoint(words):
-                    for block in blocks_of(words, block_words):
-                        for name, share in index.match(block).items():
-                            best[name] = max(share, best.get(name, 0.0))
+                    for block in blocks_of(words, block_words, widest):
+                        for name in index.match(set(block)):
+                            common = closest(block, index.rank[name].keys(), must[name], width[name])
+                            if common >= index.need[name]:
+                                best[name] = max(common / index.sizes[name], best.get(name, 0.0))
                 rows.append(
                     (
                         key,

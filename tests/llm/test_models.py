@@ -222,6 +222,32 @@ def test_notices_over_several_lines(spark):
     assert all(r.score >= 0.85 for r in got)
 
 
+def test_labels_need_deciding_words_that_stand_together(spark):
+    far = " word" * 20
+    rows = [
+        ("Licensed under CC BY 4.0.", "cc-by"),
+        ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-4.0-line"),
+        ("This work is licensed under the GNU General Public License, version 2", "gpl"),
+        ("This work is licensed under the GNU General Public License, version 3", "gpl,gpl-3.0-line"),
+        ("This work is licensed under a Creative Commons Attribution 3.0 International License", ""),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by-4.0-notice"),
+        (f"released{far} under{far} the{far} mit{far} license", ""),
+        ("word " * 250 + "released under the MIT license" + far * 20, "mit,mit-line"),
+    ]
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(t for t, _ in rows)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in got} == {k: labels for k, (_, labels) in enumerate(rows)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcdefgh"), max_size=40), st.sets(st.sampled_from("abcdef"), min_size=1), st.integers(1, 12), st.randoms())
+def test_closest_run(words, tokens, width, rng):
+    needed = {t for t in tokens if rng.random() < 0.3}
+    runs = [set(words[k : k + width]) for k in range(max(1, len(words) - width + 1))]
+    assert license_scan.closest(words, tokens, needed, width) == max((len(r & tokens) for r in runs if needed <= r), default=0)
+    blocks = list(license_scan.blocks_of(words, max(width, 15), width))
+    assert all(any(words[k : k + width] == b[i : i + width] for b in blocks for i in range(len(b))) for k in range(len(words) - width + 1))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sets(st.sampled_from("abcdefghij"), min_size=1, max_size=8), min_size=1, max_size=5), st.sets(st.sampled_from("abcdefghijkl"), max_size=12), st.sampled_from([0.3, 0.5, 0.8, 1.0]), st.randoms())
 def test_set_join_is_exact(templates, block, threshold, rng):
