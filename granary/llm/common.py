@@ -37,10 +37,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir`` where the session has it, else one set here (tests)."""
+    """The shared folder: ``spark.checkpoint.dir`` where the session has it, else one set here for a local master."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         sc.setCheckpointDir(configured)
     elif not sc.getCheckpointDir():
@@ -48,28 +50,62 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: lineage ends, lost executors lose nothing."""
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: lineage ends, lost executors lose nothing."""
+    return _write(df, name)[0]
+
+
+class Scratch:
+    """Tables written to the shared folder that go when the block ends; ``drop`` lets one go before."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = _write(df, name)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            _, path = self.paths.pop(id(table))
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[table for table, _ in self.paths.values()])
 
 
 def one_row_each(docs: DataFrame, own: Column, id_col: str, text_col: str, kept: DataFrame) -> DataFrame:
     """For each row of ``kept`` (``_kept_id, _kept_text, _copies``), one row of ``docs`` with its id and text key ``own``.
 
-    Of several rows the one with most code points stays, then the largest by all columns in order.
+    Of several rows the one with most code points stays, then the largest by all columns in order. The rows travel
+    as one struct, so that no column of ``docs`` meets a name used here.
     """
-    kept, row = written(kept, "kept"), [F.col(f"`{c}`") for c in docs.columns]
-    own_id = F.col(id_col).cast(kept.schema["_kept_id"].dataType)
-    keyed, same = docs.withColumn("_own_text", own), own_id.eqNullSafe(F.col("_kept_id")) & (F.col("_own_text") == F.col("_kept_text"))
-    single = keyed.join(kept.where("_copies = 1"), same, "left_semi").select(*row)
+    kept = written(kept, "kept")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(f"`{id_col}`").cast(kept.schema["_kept_id"].dataType).alias("id"),
+        own.alias("text"),
+        F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("n"),
+    )
+    same = F.col("id").eqNullSafe(F.col("_kept_id")) & (F.col("text") == F.col("_kept_text"))
+    single = rows.join(kept.where("_copies = 1"), same, "left_semi").select("row.*")
     if kept.where("_copies > 1").isEmpty():
         return single
-    best = F.max(F.struct(F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"), F.struct(*row).alias("row"))).alias("_best")
-    several = keyed.join(kept.where("_copies > 1"), same).groupBy("_kept_text", "_kept_id").agg(best)
-    return single.union(several.select("_best.row.*"))
+    best = F.max(F.struct("n", "row")).alias("best")
+    several = rows.join(kept.where("_copies > 1"), same).groupBy("_kept_text", "_kept_id").agg(best)
+    return single.union(several.select("best.row.*"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

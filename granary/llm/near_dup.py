@@ -1,38 +1,47 @@
 """Near-duplicate detection: BagMinHash signatures, bands, and verification of multiset overlap.
 
-A document is the multiset of its five-word shingles. Weights are discretised into dyadic intervals [0,1), [1,2),
-[2,4), ...; every (shingle, interval) has a Poisson process of points, a point of an interval counts for a document
-if its place in the interval is below the shingle's weight, and a register keeps the earliest point that falls to it.
-Two registers agree with a probability equal to the weighted Jaccard similarity. Processes run only up to a horizon
-at which nearly all registers have a point; documents with an empty one go on with a farther horizon.
-
-Candidates come from bands in rounds, and only between texts not yet connected: first each text and the best pivot of
-its buckets, then one pivot of each bucket after another against its texts of other components, until few pairs are
-left; then those pairs, buckets that still hold many components split by every second band first. All pairs are verified
-on the whole texts, and verified links give classes as connected components.
+A document is the multiset of its five-word shingles. Weights are discretised into unit cells under dyadic roots
+[0,1), [1,2), [2,4), ...; each (shingle, root) has a Poisson process that is split hierarchically: an interval gives
+one point, then the halves beside the point's way down to its cell go on as processes of their own, and the cell
+with its next points. Intervals above a document's weight are left out, and a process ends at a horizon by which
+nearly all registers have a point; documents with an empty one go on with a farther horizon. A register keeps the
+earliest point that falls to it, and two registers agree with a probability equal to the weighted Jaccard similarity.
+
+Two texts are candidates if a band of theirs is equal. They are proven or refuted in three steps, each linear in
+what it is given:
+
+1. Stars. A bucket's hub is its text that meets most others over all its buckets; each text is verified against the
+   hubs of its buckets. Copies with few edits of their own are hubs, so families join here.
+2. Buckets whose texts are in several components still: the pairs between them, where these are few for the bucket's
+   size (``CROWDED`` for each text at most).
+3. Texts of the other buckets: an exact set-similarity join over their shingles, rarest first. Two texts alike to the
+   threshold share a shingle in short prefixes; what many texts share is not in them, unlike their own edits.
+
+Pairs carry numbers only; texts travel to the verification of pairs alone. Links give classes as connected components.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import one_row_each, shared_dir, ship, written
+from granary.llm.common import Scratch, one_row_each, ship, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
-#: Buckets with more components than this are split by a second band before their pairs are made.
-CROWDED = 40
-#: Rounds of stars at most before what is left is paired.
-MAX_ROUNDS = 3
-#: Texts in a block of a large cluster.
-BLOCK = 128
-#: Pairs across components for each open place of a text, up to which pairing them is cheaper than another round.
-FEW = 24
+#: Pairs between components, for each text of a bucket, up to which they are made from the bucket.
+CROWDED = 8
+#: Size classes of the set-similarity join are steps of 1 / STEPS in the logarithm of the size.
+STEPS = 50
+#: Counters of shingles in the set-similarity join, and how many of them are merged at once. They bound what is
+#: broadcast, 1 byte each; shingles that share a counter only count as more frequent.
+COUNTERS, CHUNK = 1 << 22, 1 << 14
 _TABLE = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -41,7 +50,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 600_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -84,6 +93,49 @@ def _uniform(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * (1.0 / (1 << 53))
 
 
+def _stream(element: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The seed of the process of an element's interval [low, low + width)."""
+    return mix64(element + (low.astype(np.uint64) * _P2 + width.astype(np.uint64) * _P3))
+
+
+def _cells(rest: tuple, horizon: np.ndarray, flat: np.ndarray, registers: int) -> tuple:
+    """Take the point of each wide interval and split it; the unit cells, and when each goes on.
+
+    Intervals are arrays (element, owner, weight, low, width, time). After its point an interval leaves, for each
+    level on the point's way down to a cell, the half beside the way, and that cell.
+    """
+    cells: list[tuple] = []
+    while True:
+        element, owner, weight, low, width, time = rest
+        unit = width == 1
+        cells.append((_stream(element[unit], low[unit], width[unit]), owner[unit], time[unit]))
+        element, owner, weight, low, width, time = (x[~unit] for x in rest)
+        if not len(element):
+            break
+        h = mix64(_stream(element, low, width) + _P3)
+        time = time - np.log(_uniform(h)) / width
+        early = time <= horizon[owner]
+        element, owner, weight, low, width, time = (x[early] for x in (element, owner, weight, low, width, time))
+        g = mix64(h[early] ^ _P1)
+        place = low + ((g & np.uint64(0xFFFFFFFF)) % width.astype(np.uint64)).astype(np.int64)
+        counts = place < weight
+        np.minimum.at(flat, (owner * registers + ((g >> np.uint64(32)) % np.uint64(registers)).astype(np.int64))[counts], time[counts])
+        parts = []
+        while len(element):
+            half = width // 2
+            right = place >= low + half
+            beside = np.where(right, low, low + half)
+            live = beside < weight
+            parts.append(tuple(x[live] for x in (element, owner, weight, beside, half, time)))
+            low = np.where(right, low + half, low)
+            down = (half > 1) & (low < weight)
+            end = (half == 1) & (low < weight)
+            parts.append(tuple(x[end] for x in (element, owner, weight, low, half, time)))
+            element, owner, weight, low, width, time, place = (x[down] for x in (element, owner, weight, low, half, time, place))
+        rest = tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (element, owner, weight, low, width, time)
+    return tuple(np.concatenate(x) for x in zip(*cells, strict=True))
+
+
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int = REGISTERS, slack: float = 4.0) -> np.ndarray:
     """BagMinHash: a row of ``registers`` earliest points for each multiset."""
     out = np.full((len(bags), registers), np.inf)
@@ -92,32 +144,24 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int = REGIS
         element = np.concatenate([bags[d][0] for d in todo])
         weight = np.concatenate([bags[d][1] for d in todo]).astype(np.int64)
         owner = np.repeat(np.arange(len(todo)), [len(bags[d][0]) for d in todo])
-        total = np.bincount(owner, weight, len(todo))
-        horizon = registers * (np.log(registers) + slack) / total
+        horizon = registers * (np.log(registers) + slack) / np.bincount(owner, weight, len(todo))
         rows = out[todo]
         flat = rows.reshape(-1)
-        # Interval 0 is [0,1), interval k is [2^(k-1), 2^k): an element has those that begin below its weight.
-        low, width, interval = 0, 1, 0
-        live = np.arange(len(element))
-        while len(live):
-            base = mix64(element[live] + np.uint64(interval * int(_P2) & 0xFFFFFFFFFFFFFFFF))
-            own, room, until = owner[live], weight[live] - low, horizon[owner[live]]
-            time, step = np.zeros(len(live)), 0
-            while len(base):
-                h = mix64(base + np.uint64((2 * step + 1) * int(_P3) & 0xFFFFFFFFFFFFFFFF))
-                time = time - np.log(_uniform(h)) / width
-                keep = time <= until
-                base, own, room, until, time = base[keep], own[keep], room[keep], until[keep], time[keep]
-                g = mix64(h[keep] ^ _P1)
-                register = (g >> np.uint64(32)).astype(np.int64) % registers
-                if width > 1:
-                    inside = (g & np.uint64(0xFFFFFFFF)).astype(np.int64) % width < room
-                    np.minimum.at(flat, own[inside] * registers + register[inside], time[inside])
-                else:
-                    np.minimum.at(flat, own * registers + register, time)
-                step += 1
-            low, width, interval = low + width, low + width, interval + 1
+        roots, low, width, live = [], 0, 1, np.arange(len(element))
+        while len(live):  # the dyadic roots that begin below an element's weight
+            fill = np.ones(len(live), np.int64)
+            roots.append((element[live], owner[live], weight[live], low * fill, width * fill, np.zeros(len(live))))
+            low, width = low + width, low + width
             live = np.flatnonzero(weight > low)
+        state, own, time = _cells(tuple(np.concatenate(x) for x in zip(*roots, strict=True)), horizon, flat, registers)
+        until, own = horizon[own], own * registers
+        while len(state):
+            state = mix64(state + _P3)
+            time = time - np.log(_uniform(state))
+            keep = time <= until
+            state, own, time, until = state[keep], own[keep], time[keep], until[keep]
+            register = ((mix64(state ^ _P1) >> np.uint64(32)) % np.uint64(registers)).astype(np.int64)
+            np.minimum.at(flat, own + register, time)
         out[todo] = rows
         todo = todo[np.isinf(rows).any(axis=1)]
         slack = 2 * slack + 8
@@ -133,7 +177,7 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def text_id(text: Column) -> Column:
-    """128 bits of a text's SHA-256: the node that stands for all documents with this text."""
+    """128 bits of a text's SHA-256: it stands for all documents with this text."""
     return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)
 
 
@@ -147,7 +191,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, at_once: int = 400) -> D
             at = 0
             while at < len(texts):
                 bags, held = [], 0
-                while at < len(texts) and len(bags) < at_once and held < 400_000:
+                while at < len(texts) and len(bags) < at_once and held < 200_000:
                     bags.append(shingles(texts[at]))
                     held += len(bags[-1][0])
                     at += 1
@@ -160,16 +204,16 @@ def signed(docs: DataFrame, id_col: str, text_col: str, at_once: int = 400) -> D
     )
 
 
-def _similar_size(a: str, b: str, threshold: float) -> Column:
+def _similar_size(a: Column, b: Column, threshold: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * F.lit(threshold - 1e-9)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``a, b`` of text ids whose texts are similar to the threshold."""
+    """The pairs ``a, b`` of nodes whose texts are similar to the threshold."""
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, x: pd.Series, b: pd.Series, y: pd.Series) -> pd.Series:
-        known: dict[bytes, tuple] = {}
+        known: dict[int, tuple] = {}
 
         def of(key, text):
             if key not in known:
@@ -180,21 +224,21 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
         return pd.Series([similarity(of(i, s), of(j, t)) >= threshold - 1e-12 for i, s, j, t in zip(a, x, b, y, strict=True)], dtype=bool)
 
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("_x"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("_y"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("_x"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("_y"))
     # The similarity is a column of its own, so that it is computed once, after both joins.
     return pairs.join(left, "a").join(right, "b").withColumn("_ok", similar("a", "_x", "b", "_y")).where("_ok").select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``id, comp`` of every node that has an edge: connected components by large and small stars.
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``node, comp`` of every node that has an edge ``a, b``: connected components by large and small stars.
 
-    ``comp`` is the least id of the component. Edges are checkpointed between rounds; no list of neighbours is
-    ever gathered, only its minimum.
+    ``comp`` is the least node of the component. Edges are written between rounds; no list of neighbours is ever
+    gathered, only its minimum.
     """
 
     def settled(e: DataFrame) -> tuple[DataFrame, tuple]:
-        e = e.where("u != v").distinct().checkpoint()
+        e = scratch.write(e.where("u != v").distinct(), "edges")
         r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         return e, (r[0], r[1])
 
@@ -202,153 +246,225 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        joined = e.join(least, "u")
-        e, now = settled(joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")))
+        big = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        big = big.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
+        least = big.groupBy("u").agg(F.min("v").alias("m"))
+        small = big.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
+        after, now = settled(small)
+        scratch.drop(e)
+        e = after
         if now == state:
             break
         state = now
-    return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
-
+    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
 
-def text_classes(rows: DataFrame, docs: DataFrame, text_col: str, threshold: float) -> DataFrame:
-    """``id, comp`` of every text that shares a band with another one."""
-    members = rows.select("id", "n", F.explode("bands").alias("k")).groupBy("k", "id", "n").agg(F.count(F.lit(1)).alias("_c")).drop("_c")
-    members = written(members, "members")
-    full = members.groupBy("k").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("k")
-    shared = written(members.join(full, "k"), "shared")
-    comps = written(shared.select("id", F.col("id").alias("comp")).distinct(), "comps")
-    texts = docs.select(text_id(F.col(text_col)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = written(texts.groupBy("id").agg(F.first("text").alias("text")).join(comps.select("id"), "id", "left_semi"), "texts")
-
-    codes = rows.select("id", "bands")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        """Pairs with two common bands: at the threshold all but one in 20,000, of much less similar texts few."""
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        own = codes.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("bands").alias("bands"))
-        x, y = own.select(F.col("id").alias("a"), F.col("bands").alias("_x")), own.select(F.col("id").alias("b"), F.col("bands").alias("_y"))
-        return pairs.join(x, "a").join(y, "b").where(F.size(F.array_intersect("_x", "_y")) > 1).select("a", "b")
-
-    def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
-        """Components joined by new links."""
-        of = lambda side: comps.select(F.col("id").alias(side), F.col("comp").alias(f"_{side}"))
-        between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a != b").distinct()
-        moved = components(between).select(F.col("id").alias("comp"), F.col("comp").alias("_to"))
-        return comps.join(moved, "comp", "left").select("id", F.coalesce("_to", "comp").alias("comp")).checkpoint()
-
-    def still_open(placed: DataFrame) -> DataFrame:
-        """Buckets whose texts are in several components."""
-        mixed = placed.groupBy("k").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("k")
-        return placed.join(mixed, "k").checkpoint()
-
-    # Rounds of stars: a bucket's pivot is held against all its texts of other components, then leaves the bucket,
-    # as all its pairs there are tested. Each round is linear in what is open.
-    open_ = shared.join(comps, "id").select("k", "id", "n", "comp")
-    for turn in range(MAX_ROUNDS):
-        pivots = open_.groupBy("k").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("_h"), "id", "n", "comp")).alias("_p"))
-        starred = open_.join(pivots, "k").select("k", "id", "n", "comp", F.col("_p.id").alias("b"), F.col("_p.n").alias("_m"), F.col("_p.comp").alias("_pc"))
-        stars = starred.where(F.col("comp") != F.col("_pc")).where(_similar_size("n", "_m", threshold)).groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("bands"))
-        if turn == 0:  # most texts need no more than their best pivot
-            stars = stars.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("_m")).select("a", F.col("_m.b").alias("b"))
-        comps = merged(comps, verified(likely(stars.select("a", "b").checkpoint()), texts, threshold).checkpoint())
-        # After the first round a pivot hasn't met all texts of its bucket yet, so it stays.
-        rest = open_ if turn == 0 else starred.where("id != b")
-        open_ = still_open(rest.select("k", "id", "n").join(comps, "id").select("k", "id", "n", "comp"))
-        sizes = open_.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("k")
-        left = sizes.agg(F.sum("c").alias("s"), F.sum(F.expr("c * c")).alias("q")).agg(F.sum(F.expr("(s * s - q) / 2.0")), F.sum("s")).first()
-        if not left[1] or turn and left[0] <= FEW * left[1]:
-            break
-    if not left[1]:
-        return comps
 
-    # What is left falls into clusters of texts that share open buckets. In a large one whose texts share most of its
-    # buckets, blocks of texts meet in pairs; elsewhere pairs come from the buckets, crowded ones split by a second band.
-    first = open_.groupBy("k").agg(F.min("id").alias("b"))
-    clusters = components(open_.join(first, "k").select(F.col("id").alias("a"), "b")).withColumnRenamed("comp", "g")
-    placed = open_.join(clusters, "id").checkpoint()
-    per_bucket = placed.groupBy("g", "k", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("g", "k").agg(F.sum("c").alias("s"), F.sum(F.expr("c * c")).alias("q"))
-    weight = per_bucket.groupBy("g").agg(F.sum(F.expr("(s * s - q) / 2.0")).alias("_pairs"))
-    size = clusters.groupBy("g").agg(F.count(F.lit(1)).alias("_texts"))
-    dense = size.join(weight, "g").where((F.col("_texts") > CROWDED) & (F.expr("_texts * (_texts - 1) / 2.0") <= 1.5 * F.col("_pairs"))).select("g", "_texts").checkpoint()
-
-    bands = codes.join(open_.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("bands").alias("bands"))
-    inside = clusters.join(dense, "g").join(comps, "id").join(bands, "id")
-    blocks = F.ceil(F.col("_texts") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit(3)), blocks).cast("int")
-    dealt = inside.select("id", "g", "comp", "bands", own.alias("_own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
-    dealt = dealt.select("g", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "id", "comp", "bands").join(texts, "id")
-    links = dealt.groupBy("g", "_i", "_j").applyInPandas(lambda key, part: block_links(key, part, threshold), "a binary, b binary")
-
-    told = placed.join(dense, "g", "left_anti")
-    counts = told.groupBy("k").agg(F.approx_count_distinct("comp").alias("_comps"))
-    told = told.join(counts, "k").join(bands, "id")
-    few = told.where(F.col("_comps") <= CROWDED).select("k", "id", "n", "comp", "bands")
-    split = (
-        told.where(F.col("_comps") > CROWDED)
-        .withColumn("_k2", F.explode("bands"))
-        .where("_k2 != k")
-        .select(F.xxhash64(F.least("k", "_k2"), F.greatest("k", "_k2")).alias("k"), "id", "n", "comp", "bands")
-        .groupBy("k", "id", "n", "comp", "bands")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .drop("_c")
+def mixed(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of keys whose rows ``node, comp`` are in several components: the one with most rows, ``_rows``, and pairs between components, ``_pairs``."""
+    sizes = rows.groupBy(*keys, "comp").agg(F.count(F.lit(1)).alias("c"))
+    told = sizes.groupBy(*keys).agg(
+        F.max(F.struct("c", "comp")).alias("_m"), F.count(F.lit(1)).alias("_comps"), F.sum("c").alias("_rows"), F.sum(F.expr("double(c) * c")).alias("_q")
     )
+    return told.where("_comps > 1").select(*keys, F.col("_m.comp").alias("_major"), "_rows", ((F.expr("double(_rows) * _rows") - F.col("_q")) / 2).alias("_pairs"))
+
+
+def across(rows: DataFrame, keys: list[str], told: DataFrame, also, threshold: float) -> DataFrame:
+    """Pairs ``a < b`` of similar size and different components that share a key, ``also(x, y)`` holding too.
+
+    Rows of a key's largest component meet only those of its others, so a large component costs nothing by itself.
+    """
+    tagged = rows.join(told.select(*keys, "_major"), keys)
+    x = tagged.where("comp != _major").alias("x")
+    y = tagged.alias("y")
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(f"x.{k}") == F.col(f"y.{k}"))
+    once = (F.col("y.comp") == F.col("y._major")) | (F.col("x.node") < F.col("y.node"))
+    near = same & (F.col("x.comp") != F.col("y.comp")) & once & _similar_size(F.col("x.n"), F.col("y.n"), threshold) & also
+    return x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def elements(text: str) -> np.ndarray:
+    """A text's multiset of shingles as a set: the i-th of equal shingles is an element of its own."""
+    s, w = shingles(text)
+    if int(w.max()) == 1:
+        return s
+    s, i = np.repeat(s, w), np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+    return np.where(i == 0, s, mix64(s + i.astype(np.uint64) * _P2))
+
+
+def counters(texts: DataFrame, of) -> np.ndarray:
+    """How many of the hashes ``of(n, text)`` of all texts fall to each of COUNTERS, as a byte that grows with the logarithm.
+
+    1 is one alone. Tasks count what they read, chunks of counters are added up, and the driver gets COUNTERS bytes.
+    """
+
+    def count(batches):
+        held: list[np.ndarray] = []
+
+        def rows():
+            slot, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            edges = np.searchsorted(slot, np.arange(0, COUNTERS + 1, CHUNK))
+            used = np.flatnonzero(edges[1:] > edges[:-1])
+            part = lambda a, kind: [a[edges[k] : edges[k + 1]].astype(kind).tobytes() for k in used]
+            return pd.DataFrame({"chunk": used.astype(np.int32), "slot": part(slot % CHUNK, "<u2"), "n": part(n, "<u4")})
+
+        for batch in batches:
+            for n, text in zip(batch["n"], batch["text"], strict=True):
+                held.append(place(of(n, text)))
+                if len(held) >= 2000:
+                    yield rows()
+        if held:  # Spark takes no frame without rows
+            yield rows()
+
+    def add(key, parts):
+        total = np.zeros(CHUNK, np.float64)
+        for slot, n in zip(parts["slot"], parts["n"], strict=True):
+            total[np.frombuffer(slot, "<u2")] += np.frombuffer(n, "<u4")
+        level = np.where(total > 0, 1 + np.floor(6 * np.log2(np.maximum(total, 1))), 0)
+        return pd.DataFrame({"chunk": [key[0]], "level": [np.minimum(255, level).astype(np.uint8).tobytes()]})
 
-    def pairs_of(buckets: DataFrame, at: str) -> DataFrame:
-        """Pairs with two common bands, each from one bucket alone: that of its first band, or of its first two."""
-        x = buckets.select("k", F.col("id").alias("a"), F.col("n").alias("_n"), F.col("comp").alias("_ca"), F.col("bands").alias("_x"))
-        y = buckets.select(F.col("k").alias("_k"), F.col("id").alias("b"), F.col("n").alias("_m"), F.col("comp").alias("_cb"), F.col("bands").alias("_y"))
-        common = F.array_intersect("_x", "_y")
-        near = (x.k == y._k) & (x.a < y.b) & (F.col("_ca") != F.col("_cb")) & _similar_size("_n", "_m", threshold)
-        one, two = F.get(common, F.lit(0)), F.get(common, F.lit(1))
-        here = one == F.col("k") if at == "first" else F.xxhash64(F.least(one, two), F.greatest(one, two)) == F.col("k")
-        return x.join(y, near & (F.size(common) > 1) & here).select("a", "b")
-
-    pairs = pairs_of(few, "first").union(pairs_of(split, "both")).distinct()
-    return merged(comps, verified(pairs, texts, threshold).union(links).checkpoint())
-
-
-def block_links(key: tuple, part: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links between texts of two blocks (or of one) that aren't connected yet, enough to connect what is similar."""
-    bags = [shingles(t) for t in part["text"]]
-    total = np.array([int(w.sum()) for _, w in bags])
-    bands = np.array(part["bands"].tolist(), dtype=np.int64).reshape(len(part), -1)
-    ids, group = list(part["id"]), list(part["comp"])
-    left = np.flatnonzero((part["_own"] == key[1]).to_numpy())
-    right = np.flatnonzero((part["_own"] == key[2]).to_numpy())
-    parent: dict = {}
-
-    def find(x):
-        while parent.get(x, x) != x:
-            x = parent[x]
-        return x
-
-    out = []
-    for i in left:
-        near = (bands[right] == bands[i]).sum(axis=1) > 1
-        near &= np.minimum(total[right], total[i]) >= (threshold - 1e-9) * np.maximum(total[right], total[i])
-        for j in right[near]:
-            if key[1] == key[2] and j <= i:
-                continue
-            a, b = find(group[i]), find(group[j])
-            if a != b and similarity(bags[i], bags[j]) >= threshold - 1e-12:
-                parent[a] = b
-                out.append((ids[i], ids[j]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype=object)
+    def place(h):
+        return (h % np.uint64(COUNTERS)).astype(np.int64)
+
+    parts = texts.mapInPandas(count, "chunk int, slot binary, n binary").groupBy("chunk").applyInPandas(add, "chunk int, level binary")
+    out = np.zeros((COUNTERS // CHUNK, CHUNK), np.uint8)
+    for r in parts.collect():  # at most COUNTERS bytes
+        out[r.chunk] = np.frombuffer(r.level, np.uint8)
+    return out.reshape(-1)
+
+
+def size_class(n: int) -> int:
+    return math.floor(math.log(n) * STEPS + 1e-9)
+
+
+def prefix(ordered: np.ndarray, shared: np.ndarray, partner: float, threshold: float) -> np.ndarray:
+    """What must have a common element with a text of at least ``partner`` elements that is alike to the threshold.
+
+    Texts of n and m elements that are alike to t have ceil((n + m) t / (1 + t)) in common at least, so among all but
+    so many less one of their elements, in any order that both follow, is a common one. One that isn't ``shared``
+    can't be it.
+    """
+    most = len(ordered) - math.ceil(threshold / (1 + threshold) * (len(ordered) + partner) - 1e-6) + 1
+    return ordered[:most][shared[:most]]
+
+
+def key_of(element: np.ndarray, size: int) -> np.ndarray:
+    return mix64(element + np.uint64(size * int(_P3) & 0xFFFFFFFFFFFFFFFF))
+
+
+def prefix_rows(texts: DataFrame, threshold: float) -> DataFrame:
+    """``element, size, smaller, node, n, comp``: what a text's prefixes hold, for partners of each class of sizes.
+
+    The smaller text of a pair stands in its own class of sizes, the larger one in the classes down to t times its
+    size, with what smaller texts of the class may have.
+    """
+    broadcast = texts.sparkSession.sparkContext.broadcast
+    levels = broadcast(counters(texts, lambda n, text: elements(text)))
+    at = lambda table, h: table[(h % np.uint64(COUNTERS)).astype(np.int64)]
+
+    def in_order(text: str) -> tuple[np.ndarray, np.ndarray]:
+        """A text's elements, rarest first, and whether another text may have them."""
+        e = elements(text)
+        level = at(levels.value, e)
+        order = np.lexsort((e, level))
+        return e[order], level[order] > 1
+
+    smaller_keys = broadcast(counters(texts, lambda n, text: key_of(prefix(*in_order(text), n, threshold), size_class(n))))
+
+    def emit(batches):
+        held, rows = [], 0
+        columns = ["size", "smaller", "node", "n", "comp"]
+
+        def frame():
+            often = [len(x[0]) for x in held]
+            told = {c: np.repeat(np.array([x[1 + k] for x in held]), often) for k, c in enumerate(columns)}
+            return pd.DataFrame({"element": np.concatenate([x[0] for x in held])} | told)
+
+        for batch in batches:
+            for node, n, comp, text in zip(batch["node"], batch["n"], batch["comp"], batch["text"], strict=True):
+                e, shared = in_order(text)
+                own = size_class(n)
+                parts = [(prefix(e, shared, n, threshold), own, True)]
+                for size in range(size_class(max(1, math.ceil(threshold * n - 1e-6))), own + 1):
+                    smallest = max(math.exp((size - 1e-6) / STEPS), threshold * n - 1e-6, 1.0)
+                    part = prefix(e, shared, smallest, threshold)
+                    # Its own smaller row is one of those that it meets in its own class.
+                    there = at(smaller_keys.value, key_of(part, size))
+                    parts.append((part[(there > 1) | (there == 1) & ~np.isin(part, parts[0][0]) if size == own else there > 0], size, False))
+                for part, size, smaller in parts:
+                    held.append((part.view(np.int64), size, smaller, node, n, comp))
+                    rows += len(part)
+                if rows > 100_000:
+                    yield frame()
+                    held.clear()
+                    rows = 0
+        if rows:
+            yield frame()
+
+    return texts.mapInPandas(emit, "element long, size int, smaller boolean, node long, n long, comp long")
+
+
+def text_nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per distinct text: ``node`` (its number), ``id, n, bands``, its smallest document id and its copies."""
+    rows = signed(docs, id_col, text_col).groupBy("id", "n", "bands").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    return rows.withColumn("node", F.monotonically_increasing_id())
+
+
+def linked(nodes: DataFrame, docs: DataFrame, text_col: str, threshold: float, scratch: Scratch) -> DataFrame:
+    """``node, comp`` of every node that has a link."""
+    members = nodes.select("node", "n", F.explode("bands").alias("k"))
+    full = members.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = scratch.write(members.join(full, "k"), "shared")
+    meets = shared.groupBy("node").agg(F.sum("c").alias("meets"))
+    hubs = shared.join(meets, "node").groupBy("k").agg(F.max(F.struct("meets", "node", "n")).alias("_h"))
+    placed = scratch.write(shared.drop("c").join(hubs.select("k", F.col("_h.node").alias("hub"), F.col("_h.n").alias("m")), "k"), "placed")
+    scratch.drop(shared)
+
+    wanted = placed.select("node").distinct().join(nodes.select("node", "id"), "node")
+    texts = docs.select(text_id(F.col(text_col)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = scratch.write(texts.groupBy("id").agg(F.first("text").alias("text")).join(wanted, "id").select("node", "text"), "texts")
+
+    stars = placed.where("node != hub").where(_similar_size(F.col("n"), F.col("m"), threshold)).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    comps = scratch.write(components(verified(stars, texts, threshold), scratch), "comps")
+
+    rows = placed.join(comps, "node", "left").select("k", "node", "n", "hub", F.coalesce("comp", "node").alias("comp"))
+    told = mixed(rows, "k")
+    open_ = scratch.write(rows.join(told, "k").withColumn("_crowded", F.col("_pairs") > CROWDED * F.col("_rows")), "open")
+    scratch.drop(placed)
+    few, several = open_.where("NOT _crowded"), ["k", "node", "n", "comp", "hub"]
+    # All pairs with a bucket's hub are settled.
+    settled = (F.col("x.node") != F.col("x.hub")) & (F.col("y.node") != F.col("x.hub"))
+    pairs = across(few.select(*several), ["k"], few.select("k", "_major").distinct(), settled, threshold)
+    crowd = scratch.write(open_.where("_crowded").select("node", "n", "comp").distinct().join(texts, "node"), "crowd")
+    if not crowd.isEmpty():
+        found = scratch.write(prefix_rows(crowd, threshold), "prefixes")
+        roles = ((F.col("x.smaller") & ~F.col("y.smaller") & (F.col("x.n") <= F.col("y.n"))) | (F.col("y.smaller") & ~F.col("x.smaller") & (F.col("y.n") <= F.col("x.n"))))
+        pairs = pairs.union(across(found, ["element", "size"], mixed(found, "element", "size"), roles, threshold)).distinct()
+    links = scratch.write(verified(pairs, texts, threshold), "links")
+    if links.isEmpty():
+        return comps
+    of = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"_{side}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    moved = components(between, scratch)
+    alone = moved.join(comps.select("node").distinct(), "node", "left_anti")
+    there = comps.join(moved.select(F.col("node").alias("comp"), F.col("comp").alias("_to")), "comp", "left").select("node", F.coalesce("_to", "comp").alias("comp"))
+    return there.union(alone)
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """``doc_id, id, _class, class_id, class_size`` of every row; ``id`` stands for its text, ``_class`` for its class."""
     spark = docs.sparkSession
     ship(spark)
-    shared_dir(spark)
-    rows = written(signed(docs, id_col, text_col), "signed")
-    comps = text_classes(rows, docs, text_col, threshold)
-    classed = rows.select("doc_id", "id").join(comps, "id", "left").select("doc_id", "id", F.coalesce("comp", "id").alias("_class"))
-    sizes = classed.groupBy("_class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return classed.join(sizes, "_class")
+    with Scratch(spark) as scratch:
+        nodes = scratch.write(text_nodes(docs, id_col, text_col), "nodes")
+        comps = linked(nodes, docs, text_col, threshold, scratch)
+        placed = nodes.join(comps, "node", "left").select("id", "first_id", "copies", F.coalesce("comp", "node").alias("_class"))
+        sizes = placed.groupBy("_class").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
+        told = written(placed.select("id", "_class").join(sizes, "_class"), "classes")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_id(F.col(text_col)).alias("id"))
+    return rows.join(told, "id").select("doc_id", "id", "_class", "class_id", "class_size")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -359,9 +475,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``class_id`` is the class's smallest document id, and that document is kept.
 
     Defined cases: a null text is an empty one; texts without words are alike only if equal but for outer white
-    space; a null id is never smaller than another (a class of null ids has a null ``class_id``, and those rows
-    are kept); rows that repeat an id share its verdict; an empty table gives an empty result; other columns are
-    ignored.
+    space; very long texts count whole; a null id is never smaller than another (a class of null ids has a null
+    ``class_id``, and those rows are kept); rows that repeat an id share its verdict; an empty table gives an empty
+    result; other columns are ignored.
     """
     return classes(docs, id_col, text_col, threshold).select(
         "doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), F.lower(F.hex("id")).alias("text_id")
@@ -372,7 +488,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` that stay, exactly one of each class, with all their columns.
 
     Of a class's rows with the kept id, which may be null, those with the smallest text id count; if they repeat,
-    the largest by all columns in order stays.
+    the largest by all columns in order stays. Null, empty and very long texts, null ids and empty tables are as in
+    ``near_duplicates``; other columns may have any name and come back unchanged.
     """
     kept = classes(docs, id_col, text_col, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
     kept = kept.groupBy("_class", "doc_id", "id").agg(F.count(F.lit(1)).alias("_copies"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text string, _n int, size string, id string, k long, text_sha256 string, _salt string, held_out string, score string, offset string"
-_CLASH = ("x", 1, "y", "z", 7, "sha", "salt", "no", "high", "far")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text string, _n int, size string, id string, k long, text_sha256 string, _salt string, held_out string, score string, offset string, _sha string, _keep_id string, _keep_sha string, _own_text string, _kept_id string, _kept_text string, _copies string, _times string, _time string, _words string, _first string, _part string, _cut string, row string, node string, n string"
+_CLASH = ("x", 1, "y", "z", 7, "sha", "salt", "no", "high", "far", *"abcdefghijklmnop")
 
 
 def prose(rng: random.Random, words: int, vocabulary: int = 400) -> str:

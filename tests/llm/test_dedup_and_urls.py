@@ -5,6 +5,8 @@ from urllib.parse import urlsplit
 
 import pytest
 
+from granary.llm import near_dup
+from granary.llm.common import Scratch
 from granary.llm.exact_dedup import drop_duplicates, duplicate_groups
 from granary.llm.near_dup import components, drop_near_duplicates, near_duplicates, shingles, signatures, similarity
 from granary.llm.url_filter import RULES, rules_frame, url_verdicts
@@ -125,10 +127,77 @@ def test_signatures_are_unbiased():
 
 
 def test_components(spark):
-    edges = spark.createDataFrame([(b"a", b"b"), (b"b", b"c"), (b"x", b"y"), (b"c", b"d"), (b"d", b"a")], "a binary, b binary")
-    spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    got = {bytes(r.id): bytes(r.comp) for r in components(edges).collect()}
-    assert got == {b"a": b"a", b"b": b"a", b"c": b"a", b"d": b"a", b"x": b"x", b"y": b"x"}
+    edges = spark.createDataFrame([(1, 2), (2, 3), (24, 25), (3, 4), (4, 1)], "a long, b long")
+    with Scratch(spark) as scratch:
+        got = {r.node: r.comp for r in components(edges, scratch).collect()}
+        assert components(edges.limit(0), scratch).count() == 0
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 24: 24, 25: 24} and not scratch.paths
+
+
+def _classes_by_force(rows):
+    bags = {i: shingles(t) for i, t in rows}
+    parent = {i: i for i in bags}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids, links = sorted(bags), 0
+    for a in ids:
+        for b in ids:
+            if a < b and similarity(bags[a], bags[b]) >= 0.8:
+                links += 1
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in ids}, links
+
+
+@pytest.fixture(scope="module")
+def families():
+    """Families of texts around 0.8 alike, whose members are linked by some others only, repeated words included."""
+    import random
+
+    rng, rows = random.Random(11), []
+    for f, (size, edits) in enumerate([(150, 9), (60, 6), (40, 4), (25, 12)]):
+        base = [f"f{f}w{rng.randrange(90)}" for _ in range(150)]
+        if f == 1:  # a part of the first family's words, in many of this one's buckets
+            base[:70] = rows[0][1].split()[:70]
+        for _ in range(size):
+            words = list(base)
+            for _ in range(rng.randrange(edits)):
+                words[rng.randrange(150)] = f"n{rng.randrange(10**6)}"
+            del words[150 - rng.randrange(8) :]
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows) + k, " ".join(["again and again"] * (k + 20))) for k in range(12)]
+    return rows
+
+
+@pytest.mark.parametrize("crowded, counters, chunk", [(8, 1 << 22, 1 << 14), (-1, 1 << 22, 1 << 14), (-1, 64, 16), (10**9, 64, 16)])
+def test_families_equal_brute_force(spark, families, monkeypatch, crowded, counters, chunk):
+    """Whichever way a bucket's pairs are made: from it, or by the set-similarity join, with few counters too."""
+    monkeypatch.setattr(near_dup, "CROWDED", crowded)
+    monkeypatch.setattr(near_dup, "COUNTERS", counters)
+    monkeypatch.setattr(near_dup, "CHUNK", chunk)
+    want, links = _classes_by_force(families)
+    assert links > 500 and len(set(want.values())) > 40
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(families, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_planted_links_are_found(spark):
+    """Recall: each of thousands of texts that have one partner, 0.8 to 0.9 alike, is in a class with it."""
+    import random
+
+    rng, rows, wanted = random.Random(17), [], 0
+    for k in range(2500):
+        words = [f"w{rng.randrange(10**7)}" for _ in range(60)]
+        rows.append((2 * k, " ".join(words)))
+        at = rng.randrange(5, 55)
+        words[at] = "x"
+        rows.append((2 * k + 1, " ".join(words)))
+        wanted += similarity(shingles(rows[-2][1]), shingles(rows[-1][1])) >= 0.8
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("class_size = 2 AND class_id % 2 = 0 AND NOT kept").count()
+    assert wanted == 2500 and got >= 0.999 * wanted
 
 
 # -- URLs ------------------------------------------------------------------------------------------------------------
