@@ -107,17 +107,47 @@ def test_filter_grows_with_its_input(spark):
     rng = random.Random(6)
     rows = [(k, " ".join(f"v{rng.randrange(20_000)}" for _ in range(100))) for k in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    vocab = lm_score.vocabulary(docs, "text").cache()
     # So many bits that all n-grams take more than 800 million: none may go, and none of it goes with the model.
-    model = lm_score.train(docs, vocab, bits_per_item=24_000)
+    model, vocab = lm_score.train(docs, bits_per_item=24_000)
     assert int(model.table.bits.sum()) > 800_000_000 and (model.table.least == 1).all()
     words, counts = lm_score.Words(), Counter()
     for _, some, starts in lm_score.chunks(t for _, t in rows):
-        h, _ = words.rows(some)
+        at = words.rows(some)
+        h = words.hashes[at]
         counts.update(np.concatenate([lm_score.mix64(h + lm_score._M1), lm_score.bigrams(h, starts)]).tolist())
     told = model.table.levels(np.array(list(counts), np.uint64))
     assert (told >= lm_score.level_of(np.array(list(counts.values())))).all()
     assert len(pickle.dumps(model.table)) < 100_000
+    exact = Counter(w for _, t in rows for w in [*t.split(), ""])
+    assert {r.token: r.n for r in vocab.collect()} == exact
+
+
+def test_scores_equal_a_model_with_exact_counts(spark):
+    """With so many bits that probes don't err, a score is what counts of the same levels give, in plain Python."""
+    held = fold_of("doc_id", 7) == 2
+    model, vocab = lm_score.train(messy(spark).where(~held), bits_per_item=400, most_heavy=3)
+    got = lm_score.score(messy(spark), model, vocab, held).collect()
+    one, two = Counter(), Counter()
+    tokens = [(i, (t or "").encode().lower().split() + [b""]) for i, t, *_ in texts()]
+    for i, w in tokens:
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2:
+            one.update(w)
+            two.update(zip([b"", *w], w, strict=False))
+
+    def count(n):
+        level = int(math.log2(n)) + 1 if n else 0
+        return 0 if not n else 1 if level == 1 else 2 ** (level - 1) / math.log(2)
+
+    def log10(a, b):
+        alone = (count(one[b]) + 1) / (sum(one.values()) + len(one) + 1)
+        if not one[a]:
+            return math.log10(alone)
+        w = model.weights[min(lm_score.BANDS - 1, int(math.log2(count(one[a]) + 1)))]
+        return math.log10(w * min(1.0, count(two[a, b]) / max(1.0, count(one[a]))) + (1 - w) * alone)
+
+    want = Counter((i, round(sum(log10(a, b) for a, b in zip([b"", *w], w, strict=False)), 3)) for i, w in tokens)
+    assert Counter((r.doc_id, round(r.score, 3)) for r in got) == want
+    assert (0 < model.weights).all() and (model.weights < 1).all()
 
 
 def test_empty_training(spark):
