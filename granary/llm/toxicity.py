@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A lexicon transducer rewrites a clause's words as marks: insult, threat, target, negation, report. A grammar
-transducer, composed from one small transducer for each pattern, reads the marks left to right and leaves each
-clause with the pattern it matched (plain, aimed, threatening, negated or reported). Lexicon entries and pattern
-weights are learned from labelled documents; a document's score comes from its heaviest matched clause, not from
-words on their own.
+A lexicon transducer rewrites a clause's words as marks: insult, threat, target, negation, report; a word may have
+several. It is composed with one small transducer for each pattern, which read the marks left to right, rewrite
+some (a denied or quoted insult is not one that is aimed) and take weighted arcs. A clause weighs what its heaviest
+path weighs: insults their own weights, aim and threat more, denial and report less. Lexicon entries and the arcs'
+weights are learned from labelled documents; a document's score comes from its heaviest clause and from the weight
+of all its matched clauses, as such and against its length, not from words on their own.
 """
 
 from __future__ import annotations
@@ -26,94 +27,111 @@ REPORT = "said says say called calls wrote writes quoted quotes reported claimed
 THREAT = "kill hurt destroy murder attack beat stab shoot burn"
 WILL = "will shall should must gonna going want"
 
-INSULT, THREATEN, AIM, NOT, SAID, WILLING = "I", "T", "A", "N", "S", "W"
-#: Marks that a lexicon entry may turn into, by word of a closed class.
+INSULT, THREATEN, AIM, NOT, SAID, WILLING, OTHER = "I", "T", "A", "N", "S", "W", "o"
+#: Marks that transducers write in place of others: a denied and a quoted insult, a threat that is willed.
+DENIED, QUOTED, MEANT = "n", "q", "t"
 _CLOSED = {w: m for words, m in ((TARGET, AIM), (NEGATION, NOT), (REPORT, SAID), (THREAT, THREATEN), (WILL, WILLING)) for w in words.split()}
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[a-z]+)?|[.!?;:\n|]")
 _ENDS = frozenset(".!?;:\n|")
 STEM_LENGTHS = (4, 5, 6)
 PATTERNS = ("none", "reported", "negated", "plain", "aimed", "threat")
+#: Weights of the patterns' arcs, believed beforehand; a labelled corpus moves them.
+ARCS = {"negated": -2.0, "reported": -2.0, "aimed": 1.0, "threat": 2.0}
 _GAP = 6
-MOST_ENTRIES = 5000
 
 
 class Transducer:
-    """Deterministic transducer: arcs[state][mark] = (next state, weight); unknown marks use the mark ''."""
+    """A letter transducer: ``arcs[state][mark] = (next state, mark written, name of the arc's weight or None)``.
 
-    def __init__(self, arcs: dict, final: dict):
-        self.arcs, self.final = arcs, final
-
-    def run(self, marks) -> float:
-        state, total = 0, 0.0
-        for mark in marks:
-            arcs = self.arcs.get(state, {})
-            state, weight = arcs.get(mark) or arcs.get("", (state, 0.0))
-            total += weight
-        return total + self.final.get(state, -math.inf)
-
-
-def compose(parts: list[tuple[str, Transducer]]):
-    """The union of pattern transducers: the pattern with the largest weight over a clause, and that weight."""
+    A mark without an arc takes the state's arc ``""`` and is written as it is. All states accept.
+    """
 
-    def best(marks) -> tuple[float, str]:
-        return max((t.run(marks), name) for name, t in parts)
+    def __init__(self, arcs: dict):
+        self.arcs = arcs
 
-    return best
+    def step(self, state: int, mark: str) -> tuple[int, str, str | None]:
+        arcs = self.arcs[state]
+        if mark in arcs:
+            return arcs[mark]
+        after, _, name = arcs[""]
+        return after, mark, name
 
 
-def within(first: str, then: str, gap: int = _GAP) -> Transducer:
-    """Accepts clauses where ``then`` follows ``first`` after at most ``gap`` other words."""
-    done = gap + 2
-    arcs: dict = {0: {first: (1, 0.0)}, done: {}}
+def after(trigger: str, mark: str, write: str, gap: int, name: str | None) -> Transducer:
+    """Writes ``mark`` as ``write``, by the arc ``name``, with at most ``gap`` marks between it and the ``trigger`` before it."""
+    arcs: dict = {0: {trigger: (1, trigger, None), "": (0, "", None)}}
     for k in range(1, gap + 2):
-        arcs[k] = {then: (done, 0.0), first: (1, 0.0), "": (k + 1 if k <= gap else 0, 0.0)}
-    return Transducer(arcs, {done: 0.0})
-
-
-def has(mark: str) -> Transducer:
-    return Transducer({0: {mark: (1, 0.0)}, 1: {}}, {1: 0.0})
-
-
-class EitherWay:
-    """Two transducers of which one has to accept."""
-
-    def __init__(self, *parts: Transducer):
-        self.parts = parts
-
-    def run(self, marks) -> float:
-        return max(p.run(marks) for p in self.parts)
-
-
-class Shifted:
-    """A transducer whose accepting weight is raised."""
+        on = k + 1 if k <= gap else 0
+        arcs[k] = {mark: (on, write, name), "": (on, "", None)}
+        arcs[k][trigger] = (1, trigger, None) if trigger != mark else (1, write, name)
+    return Transducer(arcs)
+
+
+def near(one: str, other: str, gap: int, name: str) -> Transducer:
+    """Takes the arc ``name`` once, where ``one`` and ``other`` stand in either order with at most ``gap`` marks between."""
+    free, done = 0, 2 * gap + 3
+    arcs: dict = {free: {one: (1, one, None), other: (gap + 2, other, None), "": (free, "", None)}, done: {"": (done, "", None)}}
+    for first, then, base in ((one, other, 1), (other, one, gap + 2)):
+        for k in range(gap + 1):
+            arcs[base + k] = {then: (done, then, name), first: (base, first, None), "": (base + k + 1 if k < gap else free, "", None)}
+    return Transducer(arcs)
+
+
+#: Lexicon marks pass through these from left to right: threats that are willed, and aimed; denied and quoted insults,
+#: which aren't aimed; insults near a target.
+PARTS = (
+    after(WILLING, THREATEN, MEANT, _GAP, None),
+    after(MEANT, AIM, AIM, _GAP, "threat"),
+    after(NOT, INSULT, DENIED, 2, "negated"),
+    after(SAID, INSULT, QUOTED, _GAP, "reported"),
+    near(INSULT, AIM, _GAP, "aimed"),
+)
 
-    def __init__(self, part, by: float):
-        self.part, self.by = part, by
 
-    def run(self, marks) -> float:
-        return self.part.run(marks) + self.by
+class Composed:
+    """The composition of transducers, its arcs made when first taken, with weights for their names."""
 
+    def __init__(self, parts=PARTS, weights: dict[str, float] | None = None):
+        self.parts, self.weights, self.arcs = parts, dict(ARCS if weights is None else weights), {}
 
-class Both:
-    def __init__(self, *parts):
-        self.parts = parts
+    def __getstate__(self):
+        return self.__dict__ | {"arcs": {}}
 
-    def run(self, marks) -> float:
-        return min(p.run(marks) for p in self.parts)
+    def step(self, state: tuple, mark: str) -> tuple[tuple, tuple, float]:
+        """(next state, mark written at the end and arcs taken, their weight)."""
+        found = self.arcs.get((state, mark))
+        if found is None:
+            after_, names, out = [], [], mark
+            for part, at in zip(self.parts, state, strict=True):
+                to, out, name = part.step(at, out)
+                after_.append(to)
+                names += [name] if name else []
+            found = self.arcs[state, mark] = (tuple(after_), (out, *names), sum(self.weights[n] for n in names))
+        return found
 
-
-#: Later patterns have priority over plain ones; weights only order the patterns that a clause matches.
-GRAMMAR = compose(
-    [
-        ("none", Transducer({}, {0: 0.0})),
-        ("plain", Shifted(has(INSULT), 1.0)),
-        ("aimed", Shifted(EitherWay(within(INSULT, AIM), within(AIM, INSULT)), 2.0)),
-        ("threat", Shifted(Both(within(WILLING, THREATEN), within(THREATEN, AIM)), 3.0)),
-        ("negated", Shifted(within(NOT, INSULT, 2), 4.0)),
-        ("reported", Shifted(within(SAID, INSULT), 5.0)),
-    ]
-)
+    def best(self, words: list[tuple]) -> tuple[float, float, frozenset]:
+        """The heaviest path of a clause whose words have alternatives (mark, weight): its weight, the lexicon's part
+        of it, and the marks and arcs on it. Ties go to the earlier alternative."""
+        paths = {(0,) * len(self.parts): (0.0, 0.0, frozenset())}
+        for alternatives in words:
+            onward: dict = {}
+            for state, (weight, lexical, taken) in paths.items():
+                for mark, own in alternatives:
+                    to, names, more = self.step(state, mark)
+                    if to not in onward or weight + own + more > onward[to][0]:
+                        onward[to] = (weight + own + more, lexical + own, taken.union(names))
+            paths = onward
+        return max(paths.values(), key=lambda p: p[0])
+
+
+def pattern_of(taken: frozenset) -> str:
+    """The name of a path's pattern: insults that are neither denied nor quoted count before those that are."""
+    if "threat" in taken:
+        return "threat"
+    if INSULT in taken:
+        return "aimed" if "aimed" in taken else "plain"
+    return "negated" if "negated" in taken else "reported" if "reported" in taken else "none"
 
 
 def clauses(text: str):
@@ -130,78 +148,107 @@ def clauses(text: str):
         yield words
 
 
+_PLAIN = ((OTHER, 0.0),)
+
+
 class Lexicon:
-    """The first transducer: words to marks with weights, by whole word, then by the longest learned stem."""
+    """The first transducer: words to marks with weights, by whole word, then by the longest learned stem.
+
+    A learned word of a closed class keeps the mark of its class as an alternative.
+    """
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.words, self.stems, self.known = words, stems, {}
 
-    def mark(self, word: str) -> tuple[str, float]:
+    def marks(self, word: str) -> tuple:
+        """The word's alternatives (mark, weight)."""
         found = self.known.get(word)
         if found is None:
             weight = self.words.get(word) or max((self.stems.get(word[:n], 0.0) for n in STEM_LENGTHS if len(word) > n), default=0.0)
-            found = (INSULT, weight) if weight else (_CLOSED.get(word, ""), 0.0)
+            found = ((INSULT, weight),) if weight else ()
+            found += ((_CLOSED[word], 0.0),) if word in _CLOSED else ()
             if len(self.known) > 150_000:
                 self.known.clear()
-            self.known[word] = found
+            self.known[word] = found = found or _PLAIN
         return found
 
     def __getstate__(self):
         return {"words": self.words, "stems": self.stems, "known": {}}
 
-    def matches(self, text: str) -> tuple[dict[str, int], float, int]:
-        """(clauses that match each pattern, sum of their weights, words of the text)."""
-        found: dict[str, int] = {}
-        mark = self.mark
-        tokens = _TOKEN.findall(text.lower())
-        marked = [mark(t) for t in tokens]
-        marks = [m for m, _ in marked]
-        if INSULT not in marks and THREATEN not in marks:
-            return found, 0.0, len(tokens)
-        start, total = 0, 0.0
-        for at, t in enumerate([*tokens, "."]):
-            if t in _ENDS:
-                part = marks[start:at]
-                if INSULT in part or THREATEN in part:
-                    _, name = GRAMMAR(part)
-                    if name != "none":
-                        found[name] = found.get(name, 0) + 1
-                        total += sum(w for _, w in marked[start:at]) + (_THREAT_WEIGHT if name == "threat" else 0.0)
-                start = at + 1
-        return found, total, len(tokens)
-
-
-_THREAT_WEIGHT = 2.0
-_FEATURES = 4 + len(PATTERNS) - 2
-
-
-def features(matches: tuple[dict[str, int], float, int], rate: float) -> list[float]:
-    """What a document's score hangs on: its clauses' weight, that weight against its length, and its patterns.
-
-    ``rate`` is how often toxic documents have a marked word; one stray mark in a long text weighs little.
+
+_HOT = (INSULT, THREATEN)
+
+
+def matches(lexicon: Lexicon, grammar: Composed, text: str) -> tuple[list[tuple[float, float, frozenset]], int]:
+    """(the best path of each clause that matches a pattern, words of the text)."""
+    tokens = _TOKEN.findall(text.lower())
+    marks = lexicon.marks
+    marked = [marks(t) for t in tokens]
+    hot = [k for k, m in enumerate(marked) if m is not _PLAIN and (m[0][0] in _HOT or m[-1][0] in _HOT)]
+    found: list = []
+    end = -1
+    for k in hot:
+        if k < end:
+            continue  # in the clause before
+        start, end = k, k
+        while start and tokens[start - 1] not in _ENDS:
+            start -= 1
+        while end < len(tokens) and tokens[end] not in _ENDS:
+            end += 1
+        path = grammar.best(marked[start:end])
+        if pattern_of(path[2]) != "none":
+            found.append(path)
+    return found, len(tokens)
+
+
+def features(paths: list[tuple[float, frozenset]], words: int, rate: float) -> list[float]:
+    """What a document's score hangs on: its heaviest clause, all its clauses' weight and that against its length.
+
+    ``paths`` are (weight, taken) of its clauses; a clause below 0 weighs nothing. ``rate`` is how much toxic
+    documents have for a word; one stray clause in a long text weighs little.
     """
-    found, total, words = matches
-    if not found:
+    heaviest, total = max((w for w, _ in paths), default=0.0), sum(max(0.0, w) for w, _ in paths)
+    if heaviest <= 0:
         return [1.0, *([0.0] * (_FEATURES - 1))]
-    return [1.0, 1.0, math.log1p(total), math.log((total + 0.5) / (rate * words + 1.0)), *(float(p in found) for p in PATTERNS if p not in ("none", "plain"))]
+    told = {pattern_of(t) for _, t in paths}
+    return [1.0, 1.0, math.log1p(heaviest), math.log1p(total), math.log((total + 0.5) / (rate * words + 1.0)), float("aimed" in told), float("threat" in told)]
+
+
+#: Weights believed beforehand, and how firmly: no clause, any clause, the heaviest, all, against length, aimed, threat.
+_PRIOR = (-3.0, 2.5, 0.25, 0.25, 0.5, 0.5, 1.0)
+_FEATURES = len(_PRIOR)
 
 
 class Model:
-    """Lexicon, rate of marked words in toxic documents, and weights of the features."""
+    """Lexicon, grammar with its learned arcs, weight a word in toxic documents, and weights of the features."""
 
-    def __init__(self, lexicon: Lexicon, rate: float, weights: list[float]):
-        self.lexicon, self.rate, self.weights = lexicon, rate, weights
+    def __init__(self, lexicon: Lexicon, grammar: Composed, rate: float, weights: list[float]):
+        self.lexicon, self.grammar, self.rate, self.weights = lexicon, grammar, rate, weights
 
     def score(self, text: str | None) -> tuple[float, str, int]:
-        found = self.lexicon.matches(text) if text else ({}, 0.0, 0)
-        z = sum(w * x for w, x in zip(self.weights, features(found, self.rate), strict=True))
-        best = max(found[0], key=PATTERNS.index) if found[0] else "none"
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), best, sum(found[0].values())
+        """(probability, pattern of the heaviest clause, clauses that match)."""
+        paths, words = matches(self.lexicon, self.grammar, text) if text else ([], 0)
+        z = sum(w * x for w, x in zip(self.weights, features([(w, t) for w, _, t in paths], words, self.rate), strict=True))
+        best = pattern_of(max(paths, key=lambda p: p[0])[2]) if paths else "none"
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), best, len(paths)
 
 
-#: Weights believed beforehand, and how firmly: no clause, any clause, weight, weight for length, then the patterns
-#: reported and negated (milder), aimed and threat.
-_PRIOR = (-3.0, 2.5, 0.5, 0.5, -1.0, -1.0, 0.5, 1.0)
+def learn_arcs(told: list[tuple[set, int]], firmness: float = 20.0) -> dict[str, float]:
+    """Weights of the grammar's arcs from (patterns of a document's clauses, its label).
+
+    An arc weighs by how much likelier its pattern makes a document toxic than a plain insult does, pulled towards
+    what is believed beforehand; denial and report never add, aim and threat never take away.
+    """
+    odds, seen = {}, {}
+    for name in ("plain", *ARCS):
+        toxic, clean = (sum(name in p and y == k for p, y in told) for k in (1, 0))
+        odds[name], seen[name] = math.log((toxic + 1) / (clean + 1)), toxic + clean
+    out = {}
+    for name, prior in ARCS.items():
+        n = min(seen[name], seen["plain"])
+        learned = (n * (odds[name] - odds["plain"]) + firmness * prior) / (n + firmness)
+        out[name] = min(0.0, learned) if prior < 0 else max(0.0, learned)
+    return out
 
 
 def fit_weights(rows: np.ndarray, y: np.ndarray, firmness: float = 1.0) -> list[float]:
@@ -225,7 +272,7 @@ def train(
     A word counts once for each pair of neighbours it has, so copies of a document teach nothing new. It becomes
     an insult when its contexts in toxic documents are too many to come from chance over the whole vocabulary and
     few are clean; a stem does when that holds for its words without the most frequent one. Words are counted by
-    Spark; the driver gets entries, and four numbers and the patterns of each labelled document.
+    Spark; the driver gets entries, and the matched clauses' weights and patterns of each labelled document.
     """
     ship(docs.sparkSession)
     known = (
@@ -285,25 +332,36 @@ def train(
     )
 
     def weighed(frame: DataFrame) -> dict[str, tuple[float, int]]:
-        found = frame.orderBy(F.desc("pos"), "entry").limit(MOST_ENTRIES).collect()
+        found = frame.collect()  # learned from the sample alone, so bounded as it is
         base = math.log((sums.toxic + 1) / (sums.clean + 1)) if found else 0.0
-        return {r.entry: (max(0.5, math.log((r.toxic + 0.5) / (r.clean + 0.5)) - base), r.pos) for r in found}
+        return {r.entry: (max(0.5, math.log((r.toxic + 0.5) / (r.clean + 0.5)) - base), r.pos) for r in sorted(found, key=lambda r: r.entry)}
 
     by_stem = weighed(stems)
     # Of nested stems the longest that has nearly all contexts of the shorter one.
     kept = {s: w for s, (w, n) in by_stem.items() if not any(t != s and t.startswith(s) and by_stem[t][1] >= 0.9 * n for t in by_stem)}
-    lexicon = Lexicon({s: w for s, (w, _) in weighed(whole).items()}, kept)
+    lexicon, grammar = Lexicon({s: w for s, (w, _) in weighed(whole).items()}, kept), Composed()
 
     def match(batches):
         for batch in batches:
-            found = [lexicon.matches(t) for t in batch["_text"]]
-            yield pd.DataFrame({"patterns": [sorted(f[0]) for f in found], "total": [f[1] for f in found], "words": [f[2] for f in found], "y": batch["_y"]})
+            found = [matches(lexicon, grammar, t) for t in batch["_text"]]
+            yield pd.DataFrame(
+                {
+                    "lexical": [[p[1] for p in paths] for paths, _ in found],
+                    "taken": [[" ".join(sorted(p[2])) for p in paths] for paths, _ in found],
+                    "words": [n for _, n in found],
+                    "y": batch["_y"],
+                }
+            )
 
-    told = rows.mapInPandas(match, "patterns array<string>, total double, words long, y int").collect()
-    tokens = sum(r.words for r in told if r.y)
-    rate = max(1e-4, sum(r.total for r in told if r.y) / max(1, tokens))
-    x = np.array([features((dict.fromkeys(r.patterns, 1), r.total, r.words), rate) for r in told], dtype=float).reshape(len(told), _FEATURES)
-    return Model(lexicon, rate, fit_weights(x, np.array([r.y for r in told], dtype=float)))
+    told = [
+        ([(w, frozenset(t.split(" "))) for w, t in zip(r.lexical, r.taken, strict=True)], r.words, r.y)
+        for r in rows.mapInPandas(match, "lexical array<double>, taken array<string>, words long, y int").collect()
+    ]
+    arcs = learn_arcs([({pattern_of(t) for _, t in paths}, y) for paths, _, y in told])
+    weighted = [([(w + sum(arcs[n] for n in t if n in arcs), t) for w, t in paths], n, y) for paths, n, y in told]
+    rate = max(1e-4, sum(max(0.0, w) for paths, _, y in weighted if y for w, _ in paths) / max(1, sum(n for _, n, y in weighted if y)))
+    x = np.array([features(paths, n, rate) for paths, n, _ in weighted], dtype=float).reshape(len(weighted), _FEATURES)
+    return Model(lexicon, Composed(weights=arcs), rate, fit_weights(x, np.array([y for *_, y in weighted], dtype=float)))
 
 
 def hash_of(left: str, right: str) -> int:
@@ -315,8 +373,8 @@ def hash_of(left: str, right: str) -> int:
 def score(docs: DataFrame, model: Model, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted, pattern, n_clauses``, from the text alone.
 
-    Defined cases: a null or empty text, or one without a matched clause, has the rate of such documents;
-    repeated rows and null ids give a row each; an empty table gives an empty result; other columns are ignored.
+    Defined cases: a null or empty text, or one without a matched clause, has the rate of such documents; a very long
+    text is scored whole; equally heavy paths of a clause count the same; repeated rows and null ids give a row each; an empty table gives an empty result; other columns are ignored.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -344,7 +402,10 @@ def score(docs: DataFrame, model: Model, held_out: Column | None = None, id_col:
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose score is below ``threshold``, with all their columns."""
+    """The rows of ``docs`` whose score is below ``threshold``, with all their columns, whatever their names.
+
+    Rows are judged one by one by their text alone, as ``score`` states; an empty table stays empty.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
