@@ -7,10 +7,9 @@ it flags the text as ambiguous.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +17,7 @@ from granary.llm.common import ship
 
 UNDETERMINED = "und"
 DIMENSIONS = 1 << 14
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: Bytes that aren't part of an ASCII letter or a multi-byte character become spaces.
 _TABLE = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -90,7 +89,8 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], rounds: int = 300) -> Mo
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 300, most: int = 4000) -> Model:
     """Fit on about ``per_language`` rows of each language, picked by a hash of their id, at most ``most`` in all.
 
-    Only rows with a language and a letter count. Texts are read whole; the driver gets their feature counts.
+    Only rows with a language and a letter count; beyond ``most``, those with the smallest hashes stay. Texts are
+    read whole; the driver gets their feature counts.
     """
     ship(docs.sparkSession)
     rows = docs.select(
@@ -114,15 +114,17 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
             if out:  # Spark takes no frame without rows
                 yield pd.DataFrame(out, columns=["lang", "h", "used", "counts"])
 
-    found = rows.where(picked).mapInPandas(count, "lang string, h long, used array<int>, counts array<int>").limit(most).collect()
+    counted = rows.where(picked).mapInPandas(count, "lang string, h long, used array<int>, counts array<int>")
+    found = counted.orderBy("h", "lang", "used", "counts").limit(most).collect()
     return fit([(r.lang, np.asarray(r.used, np.int64), np.asarray(r.counts, np.float64)) for r in sorted(found, key=lambda r: (r.lang, r.h))])
 
 
 def predict(docs: DataFrame, model: Model, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, held_out, lang_pred, score, ambiguous``, from the whole text alone.
 
-    Defined cases: a null text, or one without a letter, is ``und`` with score 0; repeated rows and null ids
-    give a row each; a model without languages says ``und`` everywhere; an empty table gives an empty result;
+    Defined cases: a null text, or one without a letter (Unicode category L), is ``und`` with score 0; of languages
+    with equal losses the first in code point order is predicted, and the text is ambiguous; very long texts count
+    whole; repeated rows and null ids give a row each; a model without languages says ``und`` everywhere; an empty table gives an empty result;
     other columns are ignored.
     """
     ship(docs.sparkSession)
