@@ -173,11 +173,12 @@ def scan(
                 joined = b" " + b" ".join(words) + b" "
                 starts, base = [], set()
                 for phrase, label in phrases:
-                    at = joined.find(phrase)
+                    at, past, before = joined.find(phrase), 0, 0
                     while at >= 0:
-                        starts.append(joined.count(b" ", 0, at))
+                        before += joined.count(b" ", past, at)
+                        starts.append(before)
                         base.add(label)
-                        at = joined.find(phrase, at + 1)
+                        past, at = at, joined.find(phrase, at + 1)
                 best: dict[str, float] = {}
                 if not keys.isdisjoint(words):
                     for block in blocks_of(words, block_words, widest):
