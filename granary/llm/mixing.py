@@ -10,10 +10,11 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
+import random
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -27,13 +28,13 @@ MAX_SOURCES = 100_000
 #: Documents of more words may be given in part; packing cuts them in any case.
 LONG = 1024
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549)
+#: Shards whose quotas are settled together by one task.
+TOGETHER = 1024
 
 
-@F.pandas_udf(T.LongType())
-def word_count(text: pd.Series) -> pd.Series:
+def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; null has none."""
-    return text.map(lambda t: len(t.encode().split()) if t else 0).astype("int64")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def targets(sizes: list[int], weights: list[float], limit: float = LIMIT) -> list[float]:
@@ -82,6 +83,21 @@ def sainte_lague(weights: list[float], seats: int, caps: list[int]) -> list[int]
     return out
 
 
+def block_choice(blocks: int, quota: int, *seed: int) -> tuple[int, int, int, int]:
+    """(passes, rest, step, shift): a shard's blocks are taken ``passes`` times, and once more those among ``blocks``
+    that ``(step * block + shift) % blocks`` puts below ``rest``.
+
+    Step and shift are drawn by the seed; the step has no common divisor with the blocks and lies in the middle half
+    of their number, as steps near either end would choose runs of neighbours.
+    """
+    blocks = max(1, blocks)
+    rng = random.Random(",".join(map(str, seed)))
+    step = blocks // 4 + rng.randrange(blocks // 2 + 1)
+    while math.gcd(step, blocks) != 1:
+        step += 1
+    return quota // blocks, quota % blocks, step, rng.randrange(blocks)
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -90,8 +106,8 @@ def mix(
     weights=WEIGHTS,
     block_words: int = 16,
     shard_words: int = 1 << 16,
-    max_shards: int = 1024,
     seed: int = 7,
+    together: int = TOGETHER,
 ) -> DataFrame:
     """One row per document: ``doc_id, size, source_size, target, taken, source, shard``.
 
@@ -99,10 +115,14 @@ def mix(
     above 3 times its source. ``taken`` is the number of a document's words that the mix takes, repeats
     counted: 0 to 3 times its size. Runs agree: order and selection hang on ids and ``seed`` only.
 
-    Defined cases: a null text has size 0 and takes nothing; a null source is a source of its own; repeated
-    rows take part one by one, a null id is ordered like any other; an empty table gives an empty result;
-    other columns are ignored. The driver gets a row for each source and shard: at most ``max_shards`` a
-    source, and MAX_SOURCES sources, else an error.
+    A source has a shard for each ``shard_words`` words, however large it is. Blocks go by highest quotients to
+    sources, then to groups of about ``together`` shards, on the driver; the shards of a group get theirs in a task
+    of their own, and quotas reach the documents by a join.
+
+    Defined cases: a null text has size 0 and takes nothing; a null source is a source of its own; a very long text is
+    one document of one shard; repeated rows take part one by one, a null id is ordered like any other; an empty table
+    gives an empty result; other columns are ignored. The driver gets a row for each source, at most MAX_SOURCES, else
+    an error, and for each group of shards: one for ``together * shard_words`` words.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -116,42 +136,44 @@ def mix(
     totals = sorted(((r.source, int(r.n or 0)) for r in totals), key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [n for _, n in totals]
     goal = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(sizes))])
-    plan = [
-        (s, i, n, t, max(1, min(max_shards, math.ceil(n / shard_words)))) for i, ((s, n), t) in enumerate(zip(totals, goal, strict=True))
-    ]
-    by_source = spark.createDataFrame(plan, "source string, _i int, source_size long, target double, _shards int")
+    plan = [(s, i, n, t, max(1, math.ceil(n / shard_words))) for i, ((s, n), t) in enumerate(zip(totals, goal, strict=True))]
+    by_source = spark.createDataFrame([(*p, -(-p[4] // together)) for p in plan], "source string, _i int, source_size long, target double, _shards long, _groups long")
+    # Sources are MAX_SOURCES at most.
     placed = sized.join(F.broadcast(by_source), sized.source.eqNullSafe(by_source.source)).select(
         "doc_id",
         sized.source,
         "_i",
+        "_groups",
         "size",
         "source_size",
         "target",
         F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias("_order"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("string")), F.col("_shards")).cast("int").alias("shard"),
+        F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("string")), F.col("_shards")).alias("shard"),
     )
-    shards = sorted(
-        (r._i, r.shard, int(r.n)) for r in placed.groupBy("_i", "shard").agg(F.sum("size").alias("n")).collect()
-    )
-    blocks = [math.ceil(n / block_words) for _, _, n in shards]
-    per_source = [0] * len(plan)
-    members: list[list[int]] = [[] for _ in plan]
-    for k, (i, _, _) in enumerate(shards):
-        per_source[i] += blocks[k]
-        members[i].append(k)
+    shards = placed.groupBy("_i", "shard", F.pmod("shard", "_groups").alias("_group")).agg(F.sum("size").alias("_words"))
+    shards = shards.withColumn("_blocks", F.ceil(F.col("_words") / block_words))
+    groups = sorted((r._i, r._group, int(r.n), int(r.b)) for r in shards.groupBy("_i", "_group").agg(F.sum("_words").alias("n"), F.sum("_blocks").alias("b")).collect())
+    members: list[list[tuple[int, int, int, int]]] = [[] for _ in plan]
+    for g in groups:
+        members[g[0]].append(g)
+    per_source = [sum(b for *_, b in m) for m in members]
     seats = min(round(sum(sizes) / block_words), LIMIT * sum(per_source))
-    quotas = [0] * len(shards)
+    quotas: list[tuple[int, int, int]] = []
     for i, q in enumerate(sainte_lague(goal, seats, [LIMIT * b for b in per_source])):
         if abs(goal[i] - LIMIT * sizes[i]) < 1e-6 * max(1, sizes[i]):
             q = LIMIT * per_source[i]  # a target at its limit is met exactly, the last, shorter blocks included
-        split = sainte_lague([float(shards[k][2]) for k in members[i]], q, [LIMIT * blocks[k] for k in members[i]])
-        for k, n in zip(members[i], split, strict=True):
-            quotas[k] = n
-    chosen = [
-        (i, s, max(1, b), q // max(1, b), q % max(1, b), _PRIMES[(i + s + seed) % len(_PRIMES)], (i * 7919 + s * 104729 + seed) % max(1, b))
-        for (i, s, _), b, q in zip(shards, blocks, quotas, strict=True)
-    ]
-    quota = spark.createDataFrame(chosen, "_i int, shard int, _blocks long, _passes long, _rest long, _a long, _b long")
+        split = sainte_lague([float(n) for _, _, n, _ in members[i]], q, [LIMIT * b for *_, b in members[i]])
+        quotas += [(i, g, n) for (_, g, _, _), n in zip(members[i], split, strict=True)]
+    quota = spark.createDataFrame(quotas, "_i int, _group long, _seats long")
+
+    def settle(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("shard", ignore_index=True)
+        blocks = [int(b) for b in part["_blocks"]]
+        split = sainte_lague([float(n) for n in part["_words"]], int(part["_seats"].iloc[0]), [LIMIT * b for b in blocks])
+        told = [(int(i), int(s), max(1, b), *block_choice(b, q, seed, i, s)) for i, s, b, q in zip(part["_i"], part["shard"], blocks, split, strict=True)]
+        return pd.DataFrame(told, columns=["_i", "shard", "_blocks", "_passes", "_rest", "_a", "_b"])
+
+    chosen = shards.join(quota, ["_i", "_group"]).groupBy("_i", "_group").applyInPandas(settle, "_i int, shard long, _blocks long, _passes long, _rest long, _a long, _b long")
     start = F.sum("size").over(
         Window.partitionBy("_i", "shard").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     ) - F.col("size")
@@ -162,7 +184,7 @@ def mix(
                least(_start + size, (b + 1) * {block_words}) - greatest(_start, b * {block_words}), 0L))) END""")
     return (
         placed.withColumn("_start", start)
-        .join(F.broadcast(quota), ["_i", "shard"])
+        .join(chosen, ["_i", "shard"])
         .select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "shard")
     )
 

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from granary.llm.media import UNIT, from_png, media_columns, payload_of, png_header, read_headers, store, to_png
-from granary.llm.mixing import mix, sainte_lague, targets
+from granary.llm.mixing import block_choice, mix, sainte_lague, targets
 from granary.llm.packing import SegmentTree, best_fit_decreasing, encode, pack, pieces
 from granary.llm.queries import tokenizer_path
 from tests.llm.messy import empty, messy, texts
@@ -169,6 +169,45 @@ def test_mix(spark):
     assert mix(empty(spark)).count() == 0
 
 
+def test_blocks_equal_brute_force(spark):
+    """Which words are taken, block by block, with several shards in several groups."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    rows = [(k, " ".join(["w"] * rng.randrange(60)), rng.choice(["a", "a", "a", "b", None])) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mix(docs, block_words=4, shard_words=400, together=3).collect()}
+    hashes = docs.select("doc_id", F.xxhash64(F.lit(7), F.col("doc_id").cast("string")).alias("o"), F.xxhash64(F.lit(8), F.col("doc_id").cast("string")).alias("s")).collect()
+    order, dealt = {r.doc_id: r.o for r in hashes}, {r.doc_id: r.s for r in hashes}
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in names}
+    goal = targets([sizes[s] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))])
+    of = {i: dealt[i] % -(-sizes[s] // 400) for i, _, s in rows}
+    shards = {}
+    for i, t, s in rows:
+        shards.setdefault((names.index(s), of[i]), []).append((order[i], i, len(t.split())))
+    words = {k: sum(n for *_, n in v) for k, v in shards.items()}
+    blocks = {k: -(-n // 4) for k, n in words.items()}
+    groups = {k: k[1] % -(--(-sizes[names[k[0]]] // 400) // 3) for k in shards}
+    caps = [3 * sum(b for (i, _), b in blocks.items() if i == x) for x in range(len(names))]
+    for x, seats in enumerate(sainte_lague(goal, min(round(sum(sizes.values()) / 4), sum(caps)), caps)):
+        seats = caps[x] if abs(goal[x] - 3 * sizes[names[x]]) < 1e-6 else seats
+        some = sorted({g for (i, _), g in groups.items() if i == x})
+        inside = [sorted(k for k, g in groups.items() if k[0] == x and g == one) for one in some]
+        split = sainte_lague([float(sum(words[k] for k in m)) for m in inside], seats, [3 * sum(blocks[k] for k in m) for m in inside])
+        for members, q in zip(inside, split, strict=True):
+            for k, n in zip(members, sainte_lague([float(words[m]) for m in members], q, [3 * blocks[m] for m in members]), strict=True):
+                passes, rest, step, shift = block_choice(blocks[k], n, 7, *k)
+                chosen, at = {b for b in range(blocks[k]) if (step * b + shift) % blocks[k] < rest}, 0
+                assert len(chosen) == rest
+                for _, i, size in sorted(shards[k]):
+                    assert got[i].taken == passes * size + sum((at + w) // 4 in chosen for w in range(size)), i
+                    at += size
+    assert len(set(groups.values())) > 1 and sum(r.taken for r in got.values()) > 0
+
+
 # -- media ------------------------------------------------------------------------------------------------------------
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=700))
