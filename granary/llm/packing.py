@@ -238,8 +238,7 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     capacity: int = 1024,
-    ranks_a_group: int = 50_000,
-    max_salts: int = 512,
+    ranks_a_group: int = 20_000,
 ) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
@@ -247,32 +246,37 @@ def pack(
     over the whole corpus. A document over ``capacity`` is cut into pieces of ``capacity``; the first may be
     shorter.
 
-    Defined cases: a null or empty text is a document of END_ID alone; repeated rows and null ids are packed
-    one by one; an empty table gives an empty result; other columns are ignored. The driver gets at most
-    ``capacity * max_salts`` counts.
+    Pieces of a length are ranked in groups of about ``ranks_a_group``, so no task ranks all pieces of a common length.
+
+    Defined cases: a null or empty text is a document of END_ID alone; a very long one gives all its pieces; repeated
+    rows and null ids are packed one by one, and equal pieces are ranked in any order; an empty table gives an empty
+    result; other columns are ignored. The driver gets one number for each group, so one for ``capacity`` lengths and
+    for ``ranks_a_group`` pieces.
     """
     spark = docs.sparkSession
     ship(spark)
     cut = written(pieces(docs, tokenizer_path, id_col, text_col, capacity), "pieces")
-    total = cut.count()
-    salts = max(1, min(max_salts, -(-total // ranks_a_group)))
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    rows = salted.groupBy("length", "_salt").count().collect()
+    groups = np.ones(capacity + 1, dtype=np.int64)
+    for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
+        groups[r.length] = -(-r.n // ranks_a_group)
+    first = np.concatenate([[0], np.cumsum(groups)])  # of a length's groups among all
+    of_length = F.element_at(F.lit(groups.tolist()).cast("array<long>"), (F.col("length") + 1).cast("int"))
+    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), of_length))
     counts: dict[int, int] = {}
-    base = np.zeros((capacity + 1, salts), dtype=np.int64)
-    for length, salt, n in sorted((r[0], r[1], r[2]) for r in rows):
-        base[length, salt] = counts.get(length, 0)
+    base = np.zeros(int(first[-1]), dtype=np.int64)
+    for length, salt, n in sorted((r[0], r[1], r[2]) for r in salted.groupBy("length", "_salt").count().collect()):
+        base[first[length] + salt] = counts.get(length, 0)
         counts[length] = counts.get(length, 0) + n
     places, _ = best_fit_decreasing(counts, capacity)
     lookup = spark.sparkContext.broadcast(
-        ({length: tuple(np.asarray(c, dtype=np.int64) for c in zip(*at, strict=True)) for length, at in places.items()}, base)
+        ({length: tuple(np.asarray(c, dtype=np.int64) for c in zip(*at, strict=True)) for length, at in places.items()}, first, base)
     )
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, salt: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        table, bases = lookup.value
+        table, firsts, bases = lookup.value
         size = length.to_numpy(dtype=np.int64)
-        k = bases[size, salt.to_numpy(dtype=np.int64)] + rank.to_numpy(dtype=np.int64) - 1
+        k = bases[firsts[size] + salt.to_numpy(dtype=np.int64)] + rank.to_numpy(dtype=np.int64) - 1
         seq, off = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
         for one in np.unique(size):
             here = size == one
