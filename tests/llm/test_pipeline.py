@@ -7,6 +7,7 @@ import pytest
 import corpus_pipeline
 from granary.llm import mixing
 from granary.llm.near_dup import shingles, similarity
+from tests.llm.messy import empty, messy
 
 
 @pytest.fixture(scope="module")
@@ -79,6 +80,20 @@ def test_words_of_sources_come_to_their_targets(spark):
         assert abs(words[source] - mine[0].target) <= (mixing.LONG / 2 + 64) * shards
 
 
+@pytest.mark.parametrize("name", ["toxicity", "exact_dedup", "near_dedup", "mixing"])
+def test_awkward_rows_keep_their_columns(spark, folder, name):
+    """Columns that are named like ones inside come back as they were, and an empty table stays empty."""
+    stage, docs = dict(corpus_pipeline.STAGES)[name], messy(spark)
+    got = stage(spark, docs, folder)
+    given = {tuple(r) for r in docs.collect()}
+    if name == "mixing":  # the texts of cut copies are their own
+        cut = ("text", "n_chars")
+        assert {tuple(v for c, v in r.asDict().items() if c not in cut) for r in got.collect()} <= {tuple(v for c, v in r.asDict().items() if c not in cut) for r in docs.collect()}
+    else:
+        assert got.count() > 5 and {tuple(r) for r in got.collect()} <= given
+    assert got.columns == docs.columns and stage(spark, empty(spark), folder).count() == 0
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder).collect()
     assert out and all(r.offset + r.length <= 1024 for r in out)
