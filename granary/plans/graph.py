@@ -69,12 +69,8 @@ class Graph:
                         after.setdefault(edge.end, []).extend((*p, edge) for p in paths)
             if end in after:
                 found = sorted(after[end], key=self._signature)
-                if len(found) > 1:
-                    best = min(sum(e.relationship.path_priority for e in p) for p in found)
-                    first = [p for p in found if sum(e.relationship.path_priority for e in p) == best]
-                    if len(first) > 1:
-                        return Proof(False, reason="AMBIGUOUS_RELATIONSHIP_PATH", candidates=tuple(self._signature(p) for p in found))
-                    found = first
+                if len(found) > 1:  # whatever their priorities: those may not hide an ambiguity
+                    return Proof(False, reason="AMBIGUOUS_RELATIONSHIP_PATH", candidates=tuple(self._signature(p) for p in found))
                 return Proof(True, found[0])
             if not after:
                 break

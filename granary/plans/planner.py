@@ -64,9 +64,10 @@ def comparison(column: str, op: str, value, value_sql: str | None, data_type: st
     if op == "IN":
         if not isinstance(value, list) or not value:
             raise SemanticError(f"{prefix}_032", "IN needs a non-empty list of literal values.")
-        if text:
-            return f"upper({column}) IN ({', '.join(f'upper({literal(v, data_type)})' for v in value)})"
-        return f"{column} IN ({', '.join(literal(v, data_type) for v in value)})"
+        values = [literal(v, data_type) for v in value]
+        if text and any(v.upper() != v.lower() for v in values):
+            return f"upper({column}) IN ({', '.join(f'upper({v})' for v in values)})"
+        return f"{column} IN ({', '.join(values)})"
     if op == "BETWEEN":
         if not isinstance(value, list) or len(value) != 2:
             raise SemanticError(f"{prefix}_032", "BETWEEN needs exactly two values.")
@@ -261,17 +262,23 @@ class Planner:
             raise SemanticError("SEMANTIC_REQUEST_051", f"Limit must not exceed {MAX_LIMIT}.")
         return int(limit)
 
+    def _check_cell(self, m: str, d: str) -> None:
+        row = self.matrix.get((m.upper(), d.upper()))
+        if row is None:
+            raise SemanticError("SEMANTIC_REQUEST_040", f"No validation result for metric {m} and dimension {d}.")
+        if not row["valid"]:
+            raise SemanticError("SEMANTIC_REQUEST_041", f"Metric {m} can't be used with dimension {d}: {row['reason']}.", row["reason"])
+
     def _check_matrix(self, metrics: list[str], dimensions: list[str], intrinsic: list[str]) -> None:
         for m in metrics:
             for d in dimensions:
-                row = self.matrix.get((m.upper(), d.upper()))
-                if row is None:
-                    raise SemanticError("SEMANTIC_REQUEST_040", f"No validation result for metric {m} and dimension {d}.")
-                if not row["valid"]:
-                    raise SemanticError("SEMANTIC_REQUEST_041", f"Metric {m} can't be used with dimension {d}: {row['reason']}.", row["reason"])
+                self._check_cell(m, d)
         for d in intrinsic:
             if self.dimension(d) is None:
                 raise SemanticError("SEMANTIC_REQUEST_040", f"Unknown filter dimension {d}.")
+        for m in metrics:  # the dimensions of a metric's own filter
+            for d in self.formulas.filter_dimensions(self.model.get("metrics", m)):
+                self._check_cell(m, d)
 
     def _materialization(self, dimensions, filters, metrics, metric_filters):
         names = dict.fromkeys([*dimensions, *(f["dimension"] for f in filters), *metric_filters])

@@ -437,51 +437,162 @@ _ALL = "customer_nation customer_region market_segment customer_balance supplier
 SQL["validator_matrix"] = "SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{d}', {str(d in reach.split()).lower()})" for m, reach in _REACH.items() for d in _ALL) + ") t(metric, dimension, valid)"
 
 
-def yaml_import_orders_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+LINES_VIEW = """
+version: 1.1
+source: warehouse.tpch.lineitem
+joins:
+  - name: item
+    source: warehouse.tpch.part
+    on: source.l_partkey = item.p_partkey
+  - name: vendor
+    source: warehouse.tpch.supplier
+    on: source.l_suppkey = vendor.s_suppkey
+    joins:
+      - name: home
+        source: warehouse.tpch.nation
+        on: vendor.s_nationkey = home.n_nationkey
+fields:
+  - name: vendor_country
+    expr: vendor.home.n_name
+  - name: size_class
+    expr: CASE WHEN item.p_size <= 10 THEN 'hand' WHEN item.p_size <= 30 THEN 'bench' ELSE 'floor' END
+  - name: return_code
+    expr: l_returnflag
+measures:
+  - name: units
+    expr: SUM(l_quantity)
+    synonyms: [pieces]
+  - name: returned_units
+    expr: SUM(l_quantity) FILTER (WHERE l_returnflag = 'R')
+  - name: parts_sold
+    expr: COUNT(DISTINCT l_partkey)
+  - name: units_per_part
+    expr: MEASURE(units) / MEASURE(parts_sold)
+"""
+
+
+def yaml_import_lines_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metric view imported from YAML, published, and read with semantic SQL."""
     from granary.demo import TPCH_TABLES
     from granary.session import SemanticSession
     from granary.sources.metric_view import apply_metric_view
 
     s = SemanticSession(spark)
     s.relations.register_folder("tpch", sf_dir, TPCH_TABLES)
-    apply_metric_view(s, ORDERS_VIEW, "orders_view", "SEMANTIC_VIEW", "ORDERS")
-    df = s.sql("SELECT customer_nation, order_status, order_count, total_revenue, open_order_revenue, avg_order_value FROM SEMANTIC_VIEW.ORDERS")
-    return _rounded(df)
+    apply_metric_view(s, LINES_VIEW, "lines_view", "SEMANTIC_VIEW", "LINES")
+    return _rounded(s.sql("SELECT vendor_country, size_class, units, returned_units, parts_sold, units_per_part FROM SEMANTIC_VIEW.LINES"))
 
 
-ORDERS_VIEW = """
-version: 1.1
-source: main.tpch.orders
-joins:
-  - name: customer
-    source: main.tpch.customer
-    on: source.o_custkey = customer.c_custkey
-    joins:
-      - name: nation
-        source: main.tpch.nation
-        on: customer.c_nationkey = nation.n_nationkey
-fields:
-  - name: order_status
-    expr: CASE WHEN o_orderstatus = 'O' THEN 'Open' WHEN o_orderstatus = 'F' THEN 'Fulfilled' ELSE 'Other' END
-  - name: status_code
-    expr: o_orderstatus
-  - name: customer_nation
-    expr: customer.nation.n_name
-measures:
-  - name: order_count
-    expr: COUNT(DISTINCT o_orderkey)
-  - name: total_revenue
-    expr: SUM(o_totalprice)
-    synonyms: [revenue]
-  - name: open_order_revenue
-    expr: SUM(o_totalprice) FILTER (WHERE o_orderstatus = 'O')
-  - name: avg_order_value
-    expr: MEASURE(total_revenue) / MEASURE(order_count)
-"""
-Q["yaml_import_orders_view"] = yaml_import_orders_view
-SQL["yaml_import_orders_view"] = f"""SELECT cn.n_name AS customer_nation, CASE WHEN o.o_orderstatus = 'O' THEN 'Open' WHEN o.o_orderstatus = 'F' THEN 'Fulfilled' ELSE 'Other' END AS order_status,
- CAST(COUNT(DISTINCT o.o_orderkey) AS BIGINT) AS order_count, ROUND(SUM(o.o_totalprice), 2) AS total_revenue, ROUND(SUM(CASE WHEN o.o_orderstatus = 'O' THEN o.o_totalprice ELSE 0 END), 2) AS open_order_revenue,
- ROUND(SUM(o.o_totalprice) / COUNT(DISTINCT o.o_orderkey), 2) AS avg_order_value FROM {_ORDER} GROUP BY 1, 2"""
+Q["yaml_import_lines_view"] = yaml_import_lines_view
+SQL["yaml_import_lines_view"] = """SELECT n.n_name AS vendor_country, CASE WHEN p.p_size <= 10 THEN 'hand' WHEN p.p_size <= 30 THEN 'bench' ELSE 'floor' END AS size_class,
+ ROUND(SUM(l.l_quantity), 2) AS units, ROUND(SUM(CASE WHEN l.l_returnflag = 'R' THEN l.l_quantity ELSE 0 END), 2) AS returned_units, CAST(COUNT(DISTINCT l.l_partkey) AS BIGINT) AS parts_sold,
+ ROUND(SUM(l.l_quantity) / COUNT(DISTINCT l.l_partkey), 2) AS units_per_part
+ FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey GROUP BY 1, 2"""
+
+
+# -- joins of other kinds, functions ---------------------------------------------------------------------------
+def _changed(change):
+    """The TPC-H-like session with its model changed."""
+
+    def make(spark: SparkSession, sf_dir: str):
+        s = tpch_session(spark, sf_dir)
+        s.add(change(s, s.model("tpch")))
+        s.publish("tpch")
+        return s
+
+    return make
+
+
+def _inner(s, m):
+    import dataclasses
+
+    rich = s.relations("TPCH", "customer").where("c_acctbal > 0")
+    s.relations.register("TPCH", "customer", rich)
+    return m.with_("relationships", "order_customer", dataclasses.replace(m.get("relationships", "order_customer"), join_type="INNER"))
+
+
+_add(
+    "inner_join_keeps_matches",
+    "ORDERS",
+    f"SELECT c.c_mktsegment AS market_segment, {_count('o.o_orderkey', 'order_count')}, {_sum('o.o_totalprice', 'order_revenue')} FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey AND c.c_acctbal > 0 GROUP BY 1",
+    _changed(_inner),
+    metrics=["order_count", "order_revenue"],
+    dimensions=["market_segment"],
+)
+_PERIODS = [("early", "1970-01-01", "1994-07-01"), ("middle", "1994-07-01", "1996-07-01"), ("late", "1996-07-01", "2100-01-01")]
+
+
+def _effective(s, m):
+    """Orders joined with the period whose dates hold theirs: a join by inequalities."""
+    table = s.spark.createDataFrame(_PERIODS, "label string, starts string, ends string").selectExpr("label", "DATE(starts) AS starts", "DATE(ends) AS ends")
+    s.relations.register("TPCH", "periods", table)
+    m = m.add_entity("period", "TPCH", "periods", "pd", "pd.label").add_relationship("order_period", "order_hdr", "period", "o.o_orderdate >= pd.starts AND o.o_orderdate < pd.ends")
+    return m.add_dimension(None, "period", "period_label", "pd.label", "VARCHAR(10)").show("ORDERS", "DIMENSION", "period_label")
+
+
+_add(
+    "effective_dated_join",
+    "ORDERS",
+    f"SELECT pd.label AS period_label, {_count('o.o_orderkey', 'order_count')}, {_sum('o.o_totalprice', 'order_revenue')} FROM orders o LEFT JOIN (VALUES "
+    + ", ".join(f"('{a}', DATE '{b}', DATE '{c}')" for a, b, c in _PERIODS)
+    + ") pd(label, starts, ends) ON o.o_orderdate >= pd.starts AND o.o_orderdate < pd.ends GROUP BY 1",
+    _changed(_effective),
+    metrics=["order_count", "order_revenue"],
+    dimensions=["period_label"],
+)
+
+
+def _expression(text: str, kind: str):
+    return _changed(lambda s, m: m.add_dimension(None, "order_hdr", "told", text, kind).show("ORDERS", "DIMENSION", "told"))
+
+
+#: Scalar functions: name, the model's expression, its type, the same for DuckDB.
+_FUNCTIONS = [
+    ("abs_round", "ABS(ROUND(o.o_totalprice / 1000, 0) - 150)", "DOUBLE", "ABS(ROUND(o.o_totalprice / 1000, 0) - 150)"),
+    ("ceil_floor", "CEIL(o.o_totalprice / 50000) * 100 + FLOOR(o.o_totalprice / 50000)", "BIGINT", "CAST(CEIL(o.o_totalprice / 50000) * 100 + FLOOR(o.o_totalprice / 50000) AS BIGINT)"),
+    ("trunc_number", "TRUNC(o.o_totalprice / 100000, 1)", "DOUBLE", "CAST(TRUNC(o.o_totalprice / 100000 * 10) / 10 AS DOUBLE)"),
+    ("day_month_year", "DAY(o.o_orderdate) + 100 * MONTH(o.o_orderdate) + 10000 * YEAR(o.o_orderdate)", "BIGINT", "day(o.o_orderdate) + 100 * month(o.o_orderdate) + 10000 * year(o.o_orderdate)"),
+    ("extract_parts", "EXTRACT(YEAR FROM o.o_orderdate) * 100 + EXTRACT(MONTH FROM o.o_orderdate)", "BIGINT", "year(o.o_orderdate) * 100 + month(o.o_orderdate)"),
+    ("to_char", "TO_CHAR(o.o_orderdate, 'YYYY-MM')", "VARCHAR(7)", "strftime(o.o_orderdate, '%Y-%m')"),
+    ("substr_case", "LOWER(SUBSTR(o.o_orderpriority, 3, 4)) || UPPER(o.o_orderstatus)", "VARCHAR(8)", "lower(substr(o.o_orderpriority, 3, 4)) || upper(o.o_orderstatus)"),
+    ("pad_replace", "LPAD(REPLACE(o.o_orderpriority, '-', ':'), 12, '*')", "VARCHAR(12)", "lpad(replace(o.o_orderpriority, '-', ':'), 12, '*')"),
+    ("trim_concat", "CONCAT(LTRIM(RTRIM(TRIM(o.o_orderstatus))), '!')", "VARCHAR(3)", "concat(trim(o.o_orderstatus), '!')"),
+    ("coalesce_nullif", "COALESCE(NULLIF(o.o_orderstatus, 'O'), 'open')", "VARCHAR(4)", "coalesce(nullif(o.o_orderstatus, 'O'), 'open')"),
+    ("cast_text", "CAST(YEAR(o.o_orderdate) AS VARCHAR(4)) || '-' || o.o_orderstatus", "VARCHAR(6)", "CAST(year(o.o_orderdate) AS VARCHAR) || '-' || o.o_orderstatus"),
+]
+for _name, _text, _kind, _duck in _FUNCTIONS:
+    _add(f"function_{_name}", "ORDERS", f"SELECT {_duck} AS told, {_count('o.o_orderkey', 'order_count')} FROM orders o GROUP BY 1", _expression(_text, _kind), digits=6, metrics=["order_count"], dimensions=["told"])
+
+
+# -- authoring and probes ----------------------------------------------------------------------------------------
+def authored_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metric made by ALTER SEMANTIC VIEW, then asked for."""
+    s = tpch_session(spark, sf_dir)
+    s.apply("ALTER SEMANTIC VIEW tpch.ORDERS ADD OR REPLACE METRIC mean_total AS AVG(order_total) ON ENTITY order_hdr RETURNS DOUBLE NON ADDITIVE")
+    s.publish("tpch")
+    return _rounded(s.query({"model": "tpch", "object": "ORDERS", "metrics": ["mean_total"], "dimensions": ["market_segment"]}))
+
+
+Q["authored_metric"] = authored_metric
+SQL["authored_metric"] = f"SELECT c.c_mktsegment AS market_segment, ROUND(AVG(o.o_totalprice), 2) AS mean_total FROM {_ORDER} GROUP BY 1"
+
+
+def key_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which representations of orders, all of them, those of one status, and twice each, prove to have the same keys."""
+    found = []
+    for label, change in (("whole", lambda df: df), ("part", lambda df: df.where("o_orderstatus = 'O'")), ("twice", lambda df: df.union(df))):
+        s = tpch_session(spark, sf_dir)
+        s.relations.register("TPCH", "orders_again", change(s.relations("TPCH", "orders")))
+        s.add(s.model("tpch").add_representation("order_hdr", "again", "TPCH", "orders_again"))
+        report = s.validate("tpch")
+        found.append((label, "037" not in report.codes(), "038" not in report.codes()))
+    return spark.createDataFrame(found, "label string, keys_unique boolean, keys_equal boolean")
+
+
+Q["key_probe"] = key_probe
+SQL["key_probe"] = """WITH r AS (SELECT 'whole' AS label, o_orderkey AS k FROM orders UNION ALL SELECT 'part', o_orderkey FROM orders WHERE o_orderstatus = 'O'
+ UNION ALL SELECT 'twice', o_orderkey FROM orders UNION ALL SELECT 'twice', o_orderkey FROM orders)
+SELECT label, COUNT(*) = COUNT(DISTINCT k) AS keys_unique, COUNT(*) = (SELECT COUNT(*) FROM orders) AS keys_equal FROM r GROUP BY 1"""
 
 
 def catalog_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

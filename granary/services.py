@@ -14,7 +14,7 @@ from granary.plans.metrics import Formulas
 from granary.validate import INSTRUCTION_KINDS, SCOPES
 
 #: Words that don't narrow a search.
-STOP_WORDS = frozenset("a an and are by do for from give have how i in is it list many me much of on or our please show tell that the there this to was we were what when where which who with you your".split())
+STOP_WORDS = frozenset("a an and by field fields find for list measure measures metric metrics of query show the value values".split())
 VERDICTS = ("ACCEPTED", "HELPFUL", "NEEDS_CHANGE", "NOT_HELPFUL", "REJECTED")
 PROPOSALS = ("NEW_CONCEPT", "NEW_IDENTITY", "REPRESENTATION_EQUIVALENCE", "AUTHORITY_CHANGE", "DEFINITION_CHANGE")
 DECISIONS = ("CERTIFIED", "REJECTED")
@@ -24,7 +24,7 @@ _FIELDS = "model_name string, object_name string, kind string, field_name string
 
 def best_term(text: str) -> str:
     """The longest word of a question that isn't a stop word; all of it if there is none."""
-    words = [w for w in re.findall(r"\w+", text.lower()) if w not in STOP_WORDS]
+    words = [w for w in re.findall(r"[A-Za-z0-9_]+", text) if w.lower() not in STOP_WORDS]
     return max(words, key=len) if words else text.strip()
 
 

@@ -21,6 +21,8 @@ from granary.sources.relations import Relations
 from granary.validate import Report, Validator
 
 MAX_SQL_BYTES = 1_000_000
+#: Compiled plans kept by a session; the oldest go first.
+MAX_CACHED = 1000
 
 
 @dataclass
@@ -164,6 +166,8 @@ class SemanticSession:
         text = render_sql(plan)
         if len(text.encode()) > MAX_SQL_BYTES:
             raise SemanticError("SEMANTIC_REQUEST_075", f"The plan renders to more than {MAX_SQL_BYTES} bytes.", "PLANNER_SQL_SIZE_LIMIT_EXCEEDED")
+        while len(self.cache) >= MAX_CACHED:
+            del self.cache[next(iter(self.cache))]
         self.cache[key] = (plan, text)
         return Compiled("OK", generated_sql=text, plan=plan, validation_run_id=report.run_id if report else None)
 
@@ -211,6 +215,8 @@ class SemanticSession:
     def sql(self, text: str, debug: bool = False) -> DataFrame:
         """Semantic SQL, authoring and discovery commands; any other text goes to ``spark.sql``."""
         if not self.semantic_sql:
+            if self._is_semantic(text):
+                raise SemanticError("SEMANTIC_SURFACE_001", "A published object can only be read with semantic SQL switched on.")
             return self.spark.sql(text)
         answer = ddl.execute(self, text)
         if answer is not None:

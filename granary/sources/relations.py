@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +28,20 @@ class Relations:
         for name in names:
             self.register_files(schema, name, f"{folder}/{name}.{fmt}", fmt)
 
+    def store(self, schema: str, name: str, df: DataFrame, path: str | None = None) -> str:
+        """Write a relation, an aggregate for example, as Parquet and register what was written; its path.
+
+        Without a path it goes to the folder of ``spark.checkpoint.dir``, which the driver and all executors share.
+        """
+        if path is None:
+            shared = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getCheckpointDir()
+            if not shared and not self.spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            path = f"{(shared or 'file://' + tempfile.gettempdir()).rstrip(os.sep)}/granary-{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.register_files(schema, name, path)
+        return path
+
     def find(self, schema: str, name: str) -> DataFrame | None:
         key = schema.upper(), name.upper()
         if key not in self._known:

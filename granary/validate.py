@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import json
 import re
+import threading
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -59,6 +62,33 @@ class Report:
         return sorted({i.code[-3:] for i in self.issues})
 
 
+@contextlib.contextmanager
+def _deadline(spark, seconds: float):
+    """Cancels the Spark jobs of the block when it has run so long; gives an event that says whether it did."""
+    sc, group, over, done = spark.sparkContext, f"probes-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch() -> None:
+        wait = seconds
+        while not done.wait(wait):  # a job that begins after a cancellation is cancelled by the next one
+            over.set()
+            sc.cancelJobGroup(group)
+            wait = 0.2
+
+    thread = threading.Thread(target=watch, daemon=True)
+    sc.setJobGroup(group, "Key probes", True)
+    thread.start()
+    try:
+        yield over
+    except Exception:
+        if not over.is_set():
+            raise
+    finally:
+        done.set()
+        thread.join()
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            sc.setLocalProperty(name, None)
+
+
 class Validator:
     def __init__(self, model: Model, relations, probe_timeout: int | None = 30):
         self.model, self.relations, self.timeout = model, relations, probe_timeout
@@ -444,6 +474,12 @@ class Validator:
         if not self.timeout or not 1 <= self.timeout <= 60:
             self.fail("041", "MODEL", self.model.name, "Key probes need a probe timeout of 1 to 60 seconds.", "PRECONDITION")
             return
+        with _deadline(self.relations.spark, self.timeout) as self.over:
+            self._probe_all(multi)
+        if self.over.is_set():
+            self.fail("041", "MODEL", self.model.name, f"Key probes took longer than {self.timeout} seconds.", "PRECONDITION")
+
+    def _probe_all(self, multi: list) -> None:
         for e in multi:
             identity = next((i for i in self.model.identities.values() if i.entity.upper() == e.name.upper()), None)
             if identity and any(b.kind == "MAPPED" for b in self.model.identity_bindings.values() if b.identity.upper() == identity.name.upper()):
@@ -486,6 +522,8 @@ class Validator:
             try:
                 differ = not base.exceptAll(other).isEmpty() or not other.exceptAll(base).isEmpty()
             except Exception as e:  # noqa: BLE001  keys of types that can't be compared
+                if self.over.is_set():
+                    raise
                 self.fail("038", "REPRESENTATION", f"{entity.name}.{s.name}", f"Keys can't be compared: {type(e).__name__}.")
                 continue
             if differ:

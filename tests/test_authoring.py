@@ -8,7 +8,7 @@ from granary import services
 from granary.ddl import apply_suggestions, export, parse_definition, rename_metric, suggest_grain
 from granary.demo import sales_model, sales_session, tpch_model
 from granary.errors import SemanticError
-from granary.queries import ORDERS_VIEW
+from granary.queries import LINES_VIEW
 from granary.sources.interchange import diff, export_model, import_model, load, plan_import, validate_document
 from granary.sources.metric_view import import_metric_view
 from granary.views import agent_view, agent_views, catalog_view, catalog_views, register_views
@@ -136,13 +136,13 @@ def test_publish_refuses_invalid(spark):
 
 # -- metric views ------------------------------------------------------------------------------------------------
 def test_metric_view_mapping():
-    out = import_metric_view(ORDERS_VIEW + "filter: o_orderdate > '1990-01-01'\nmaterialization: {}\n", "v", "SEMANTIC_V", "ORDERS")
+    out = import_metric_view(LINES_VIEW + "filter: l_shipdate > '1990-01-01'\nmaterialization: {}\n", "v", "SEMANTIC_V", "LINES")
     m = out.model
-    assert out.codes() == ["DBX_IMPORT_250", "DBX_IMPORT_250", "DBX_IMPORT_500", "DBX_IMPORT_510"]
-    assert m.get("dimensions", "customer_nation").entity == "nation" and m.get("dimensions", "customer_nation").expression == "n.n_name"
-    assert m.get("metrics", "avg_order_value").expression == "total_revenue / NULLIF(order_count, 0)" and m.get("metrics", "avg_order_value").kind == "RATIO"
-    assert m.get("metrics", "open_order_revenue").filter == "status_code = 'O'" and m.get("facts", "total_revenue_base").private
-    assert m.get("relationships", "customer_nation").condition == "c.c_nationkey = n.n_nationkey"
+    assert out.codes() == ["DBX_IMPORT_250", "DBX_IMPORT_250", "DBX_IMPORT_250", "DBX_IMPORT_500", "DBX_IMPORT_510"]
+    assert m.get("dimensions", "vendor_country").entity == "home" and m.get("dimensions", "vendor_country").expression.endswith(".n_name")
+    assert m.get("metrics", "units_per_part").expression == "units / NULLIF(parts_sold, 0)" and m.get("metrics", "units_per_part").kind == "RATIO"
+    assert m.get("metrics", "returned_units").filter == "return_code = 'R'" and m.get("facts", "units_base").private
+    assert m.get("relationships", "vendor_home").condition.endswith(".n_nationkey")
 
 
 @pytest.mark.parametrize(
@@ -234,7 +234,7 @@ def test_search_scores(sales):
     assert ("total_revenue", 100) in got
     assert ("total_revenue", 95) in {(r.field_name, r.score) for r in services.search(sales, "show me the revenue").collect()}
     assert services.search(sales, "100%").count() == 0
-    assert services.best_term("what is the of") == "what is the of"
+    assert services.best_term(" show the values of ") == "show the values of" and services.best_term("list metric tax") == "tax"
 
 
 def test_describe_and_glossary(sales):

@@ -158,7 +158,8 @@ def test_graph():
     m = m.add_relationship("again", "order_fact", "customer", "o.order_id = c.customer_id")
     assert Graph(m).shortest("order_fact", "customer").reason == "AMBIGUOUS_RELATIONSHIP_PATH"
     m = m.with_("relationships", "again", m.get("relationships", "again").__class__("again", "order_fact", "customer", "o.order_id = c.customer_id", path_priority=1))
-    assert Graph(m).shortest("order_fact", "customer").describe() == ["again"]
+    proof = Graph(m).shortest("order_fact", "customer")
+    assert not proof.ok and proof.reason == "AMBIGUOUS_RELATIONSHIP_PATH" and set(proof.candidates) == {"again", "order_fact_customer"}
 
 
 def test_many_to_many_needs_policy(spark):
