@@ -6,12 +6,29 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 _SHIPPED: set[str] = set()
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remembers(operator: str, forget: Callable[[], None]) -> None:
+    """``forget`` clears what an operator remembers in a worker from task to task."""
+    _REMEMBERED[operator] = forget
+
+
+def working(operator: str) -> None:
+    """Called as a task of ``operator`` begins: what others remember goes, as a worker lives on from one to the next."""
+    import pyarrow
+
+    for other, forget in _REMEMBERED.items():
+        if other != operator:
+            forget()
+    pyarrow.default_memory_pool().release_unused()
 
 
 def ship(spark: SparkSession) -> None:

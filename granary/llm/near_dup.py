@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Scratch, one_row_each, ship, written
+from granary.llm.common import Scratch, one_row_each, remembers, ship, working, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -57,6 +57,7 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+remembers("near_dup", _HASHES.clear)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -186,6 +187,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, at_once: int = 400) -> D
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sign(batches):
+        working("near_dup")
         for batch in batches:
             n, keys, texts = [], [], list(batch["_text"])
             at = 0
@@ -300,6 +302,7 @@ def counters(texts: DataFrame, of) -> np.ndarray:
     """
 
     def count(batches):
+        working("near_dup")
         held: list[np.ndarray] = []
 
         def rows():
@@ -374,6 +377,7 @@ def prefix_rows(texts: DataFrame, threshold: float) -> DataFrame:
     smaller_keys = broadcast(counters(texts, lambda n, text: key_of(prefix(*in_order(text), n, threshold), size_class(n))))
 
     def emit(batches):
+        working("near_dup")
         held, rows = [], 0
         columns = ["size", "smaller", "node", "n", "comp"]
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granary.llm.common import ship, written
+from granary.llm.common import remembers, ship, working, written
 
 END_ID = 2
 _CACHES: dict[str, Recent] = {}
@@ -130,6 +130,15 @@ class Recent(dict):
         return found
 
 
+def _forget() -> None:
+    for cache in _CACHES.values():
+        cache.old = {}
+        cache.clear()
+
+
+remembers("packing", _forget)
+
+
 def _tokenizer(path: str) -> Recent:
     """Ids of what stands between two cuts, as bytes, for one tokenizer file."""
     if path not in _CACHES:
@@ -211,6 +220,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches):
+        working("packing")
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import ship, written
+from granary.llm.common import ship, working, written
 
 #: Words of the grammar's closed classes.
 TARGET = "you your yours yourself he him she her they them their these those we us people everyone"
@@ -288,6 +288,7 @@ def train(
     rows = written(rows.join(known.where(picked), "_id").where("_text IS NOT NULL").select("_text", "_y"), "labelled")
 
     def contexts(batches):
+        working("toxicity")
         seen: dict[tuple, list[int]] = {}
 
         def flushed():
@@ -381,6 +382,7 @@ def score(docs: DataFrame, model: Model, held_out: Column | None = None, id_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def read(batches):
+        working("toxicity")
         for batch in batches:
             found = [shared.value.score(t) for t in batch["_text"]]
             s = [f[0] for f in found]
