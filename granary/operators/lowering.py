@@ -78,26 +78,57 @@ def states(source: Source, branch: dict, dimensions: list[dict]) -> DataFrame:
     return df.groupBy(*keys).agg(*aggregates)
 
 
-def merged(source: Source, plan: dict) -> DataFrame:
-    """States of all branches, merged by dimension; COUNT states are 0 where no branch had rows."""
-    dimensions = plan["dimensions"]
-    parts = [states(source, b, dimensions) for b in plan["branches"]]
-    if plan["kind"] == "SINGLE_BRANCH":
-        return parts[0]
+def by_leaf(branches: list[dict]) -> list[list[dict]]:
+    """Branches that are read together: the temporal partitions of one leaf, any other alone."""
+    out: list[list[dict]] = []
+    for b in branches:
+        if out and "inputs" in b and "inputs" in out[-1][0] and out[-1][0]["entity"] == b["entity"]:
+            out[-1].append(b)
+        else:
+            out.append([b])
+    return out
+
+
+def _united(parts: list[DataFrame], columns: list[str]) -> tuple[DataFrame, dict[str, T.DataType]]:
+    """Union of frames by name, columns widened and null where a frame lacks them, with the types."""
     kinds: dict[str, T.DataType] = {}
     for p in parts:
         for f in p.schema.fields:
             known = kinds.get(f.name)
             kinds[f.name] = f.dataType if known is None else _wider(known, f.dataType)
-    names = [d["name"] for d in dimensions]
-    units = [u["column"] for u in plan["units"]]
-    aligned = [
-        p.select(*[F.col(f"`{n}`").cast(kinds[n]).alias(n) for n in names], *[(F.col(f"`{u}`") if u in p.columns else F.lit(None)).cast(kinds[u]).alias(u) for u in units])
-        for p in parts
-    ]
+    aligned = [p.select(*[(F.col(f"`{c}`") if c in p.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in columns]) for p in parts]
     union = aligned[0]
     for p in aligned[1:]:
         union = union.unionByName(p)
+    return union, kinds
+
+
+def folded(source: Source, partitions: list[dict], dimensions: list[dict]) -> DataFrame:
+    """The partial result of a leaf's partitions: their rows are united first and aggregated once."""
+    functions = {u: f for u, (f, _) in partitions[0]["inputs"].items()}
+    rows = []
+    for b in partitions:
+        df = scan(source, b)
+        keys = [_dimension(df, b["dimensions"][d["name"]], d["name"], d["data_type"]) for d in dimensions]
+        counted = {u: F.expr(sql).isNotNull() for u, (f, sql) in b["inputs"].items() if f == "COUNT"}
+        values = [(F.when(counted[u], 1) if u in counted else F.expr(sql)).alias(u) for u, (_, sql) in b["inputs"].items()]
+        rows.append(df.select(*keys, *values))
+    names = [d["name"] for d in dimensions]
+    union, _ = _united(rows, [*names, *functions])
+    if not functions:
+        return union.distinct()
+    return union.groupBy(*[F.col(f"`{n}`") for n in names]).agg(*[(F.count if f == "COUNT" else F.sum)(F.col(f"`{u}`")).alias(u) for u, f in functions.items()])
+
+
+def merged(source: Source, plan: dict) -> DataFrame:
+    """States of all leaves, merged by dimension; COUNT states are 0 where no leaf had rows."""
+    dimensions = plan["dimensions"]
+    leaves = by_leaf(plan["branches"])
+    parts = [folded(source, p, dimensions) if len(p) > 1 else states(source, p[0], dimensions) for p in leaves]
+    if plan["kind"] == "SINGLE_BRANCH" or (len(parts) == 1 and len(leaves[0]) > 1):
+        return parts[0]
+    names = [d["name"] for d in dimensions]
+    union, kinds = _united(parts, [*names, *(u["column"] for u in plan["units"])])
     merges = []
     for u in plan["units"]:
         total = F.sum(F.col(f"`{u['column']}`")).cast(kinds[u["column"]])
@@ -186,10 +217,29 @@ def render_sql(plan: dict) -> str:
     return text + (f" LIMIT {plan['limit']}" if plan["limit"] else "")
 
 
+def _render_scan(branch: dict) -> str:
+    text = f"`{branch['schema']}`.`{branch['object']}` {branch['alias']}"
+    for j in branch["joins"]:
+        on = j.get("condition") or " AND ".join(f"{x} = {y}" for x, y in zip(j["left"], j["right"], strict=True))
+        text += f" {j['how'].upper()} JOIN `{j['schema']}`.`{j['object']}` {j['alias']} ON {on}"
+    return text
+
+
 def _render_branches(plan: dict, names: list[str], group: str) -> str:
     units = [u["column"] for u in plan["units"]]
     parts = []
-    for b in plan["branches"]:
+    for leaf in by_leaf(plan["branches"]):
+        b = leaf[0]
+        if len(leaf) > 1:
+            rows = []
+            for p in leaf:
+                columns = [f"{p['dimensions'][n]} AS `{n}`" for n in names]
+                columns += [f"CASE WHEN ({sql}) IS NOT NULL THEN 1 END AS `{u}`" if f == "COUNT" else f"{sql} AS `{u}`" for u, (f, sql) in p["inputs"].items()]
+                text = f"SELECT {', '.join(columns)} FROM {_render_scan(p)}"
+                rows.append(text + (f" WHERE {' AND '.join(p['where'])}" if p["where"] else ""))
+            columns = [f"`{n}`" for n in names] + [f"{b['inputs'][u][0]}(`{u}`) AS `{u}`" if u in b["units"] else f"NULL AS `{u}`" for u in units]
+            parts.append(f"SELECT {', '.join(columns)} FROM ({' UNION ALL '.join(rows)}) {b['alias']}{group}")
+            continue
         if "materialization" in b:
             m = b["materialization"]
             columns = [f"mat.`{m['dimensions'][n]}` AS `{n}`" for n in names]
@@ -198,10 +248,7 @@ def _render_branches(plan: dict, names: list[str], group: str) -> str:
         else:
             columns = [f"{b['dimensions'][n]} AS `{n}`" for n in names]
             columns += [f"{b['aggregates'][u]} AS `{u}`" if u in b["units"] else f"NULL AS `{u}`" for u in units]
-            text = f"SELECT {', '.join(columns)} FROM `{b['schema']}`.`{b['object']}` {b['alias']}"
-            for j in b["joins"]:
-                on = j.get("condition") or " AND ".join(f"{x} = {y}" for x, y in zip(j["left"], j["right"], strict=True))
-                text += f" {j['how'].upper()} JOIN `{j['schema']}`.`{j['object']}` {j['alias']} ON {on}"
+            text = f"SELECT {', '.join(columns)} FROM {_render_scan(b)}"
         parts.append(text + (f" WHERE {' AND '.join(b['where'])}" if b["where"] else "") + group)
     steps = [f"states AS ({' UNION ALL '.join(parts)})"]
     if plan["kind"] == "MULTI_BRANCH":

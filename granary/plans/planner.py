@@ -393,10 +393,12 @@ class Planner:
         for f in filters:
             dim = self.dimension(f["dimension"])
             where.append(comparison(f"({to_spark(attribute('DIMENSION', dim.name), dim.data_type)})", f["op"], f["value"], f["value_sql"], f["data_type"], "SEMANTIC_REQUEST"))
-        aggregates = {}
+        aggregates, inputs = {}, {}
         for u in units:
             sql = unit_sql(u, argument(u.argument), predicate(u.filter) if u.filter else None, missing_sum_is_zero=not multi)
             aggregates[u.column] = to_spark(sql)
+            whole = sole_aggregate(sql)
+            inputs[u.column] = [whole.function, "1" if whole.argument == "*" else to_spark(whole.argument)] if whole else None
         base = self.model.get("entities", entity)
         return {
             "entity": entity,
@@ -410,6 +412,7 @@ class Planner:
             "dimensions": {d: to_spark(attribute("DIMENSION", d), self.dimension(d).data_type) for d in dimensions},
             "aggregates": aggregates,
             "units": [u.column for u in units],
+            **({"inputs": inputs} if len(chosen[entity].parts) > 1 and all(inputs.values()) else {}),
         }
 
 

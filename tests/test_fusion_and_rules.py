@@ -1,6 +1,7 @@
 """Several sources of one entity, and the validator's rules."""
 
 import dataclasses
+import re
 
 import pytest
 
@@ -20,6 +21,23 @@ def test_hot_cold(spark):
     assert s.compile({**ask, "metrics": ["average"]}).error_code == "SEMANTIC_REQUEST_070"
 
 
+def test_partitions_are_united_before_one_aggregation(spark):
+    s = hot_cold_session(spark)
+    s.publish("f3")
+    ask = {"model": "f3", "object": "ORDERS", "metrics": ["revenue"], "dimensions": ["order_status"]}
+    plan = s.physical(ask, "simple")
+    assert plan.count("Union") == 1 and plan.count("Exchange") == 1
+    facets = s.query({"model": "f3", "object": "ORDERS", "metrics": [], "dimensions": ["order_status"]})
+    assert sorted(r[0] for r in facets.collect()) == ["CLOSED", "OPEN"]  # statuses of both partitions
+    total = s.query({**ask, "dimensions": []}).collect()
+    assert [float(r[0]) for r in total] == [100.0]
+    text = s.compile(ask).generated_sql
+    for (schema, name), df in list(s.relations._known.items()):
+        df.createOrReplaceTempView(f"{schema}__{name}".lower())
+        text = re.sub(rf"`{schema}`\.`{name}`", f"{schema}__{name}".lower(), text, flags=re.IGNORECASE)
+    assert {r[0]: float(r[1]) for r in spark.sql(text).collect()} == {"CLOSED": 40.0, "OPEN": 60.0}
+
+
 @pytest.mark.parametrize(
     "predicate",
     ["o.order_ts < TIMESTAMP '2026-02-01 00:00:00'", "o.order_ts <= TIMESTAMP '2026-01-01 00:00:00'", "o.order_ts < TIMESTAMP '2026-01-01 00:00:00' OR 1 = 1", "x.order_ts < TIMESTAMP '2026-01-01 00:00:00'"],
