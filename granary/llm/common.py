@@ -125,6 +125,24 @@ def one_row_each(docs: DataFrame, own: Column, id_col: str, text_col: str, kept:
     return single.union(several.select("best.row.*"))
 
 
+WAYS = 64  # bits of a long
+
+
+def way_of(id_col: str) -> Column:
+    """Which of WAYS parts of its group a row is, by the hash of its id."""
+    return F.pmod(F.xxhash64(F.lit("way"), F.col(id_col)), F.lit(WAYS)).cast("int")
+
+
+def ways_used(way: str) -> Column:
+    """Aggregate: the parts that a group has rows in, as bits of a long."""
+    return F.bit_or(F.expr(f"shiftleft(1L, {way})"))
+
+
+def each_way(ways: str) -> Column:
+    """One row for each part in use, so that the rows of a large group meet their one verdict in up to WAYS tasks."""
+    return F.explode(F.expr(f"filter(sequence(0, {WAYS - 1}), way -> shiftright({ways}, way) & 1L = 1L)"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

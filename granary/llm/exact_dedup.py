@@ -2,7 +2,8 @@
 
 Rows meet three times, each time on digest *and* full content: inside the map task (partial
 aggregation), inside a salt of the digest, and over all salts. A group of copies reaches a reducer as at
-most one row per map task and salt, then as one row per salt, however many copies it has.
+most one row per map task and salt, then as one row per salt, however many copies it has. Its verdict goes out to
+its rows in as many parts as the group has rows in, so no task gets all rows of a group either.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import one_row_each
+from granary.llm.common import each_way, one_row_each, way_of, ways_used
 
 WHITE = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
 _STEP = "CAST(36893488147419103232 AS DECIMAL(20,0))"  # 2^65
@@ -42,6 +43,7 @@ def duplicate_groups(
         F.col(id_col).cast("long").alias("doc_id"),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("_n"),
         without_white(F.col(text_col)).alias("_norm"),
+        way_of(id_col).alias("_way"),
     ).withColumn("text_sha256", F.sha2(F.col("_norm").cast("binary"), 256))
     # One decimal orders rows by (code points, id) and, unlike a struct, fits hash aggregation.
     rank = F.expr(
@@ -54,22 +56,24 @@ def duplicate_groups(
         "_norm",
         F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("_salt"),
         rank.alias("_rank"),
+        "_way",
     )
     salted = keyed.groupBy("_key", "_salt", "text_sha256", "_norm").agg(
-        F.max("_rank").alias("_rank"), F.count(F.lit(1)).alias("_size")
+        F.max("_rank").alias("_rank"), F.count(F.lit(1)).alias("_size"), ways_used("_way").alias("_ways")
     )
     winners = salted.groupBy("_key", "text_sha256", "_norm").agg(
-        F.max("_rank").alias("_rank"), F.sum("_size").alias("group_size")
+        F.max("_rank").alias("_rank"), F.sum("_size").alias("group_size"), F.bit_or("_ways").alias("_ways")
     )
     rest = F.expr(f"_rank % {_STEP}")
     found = winners.select(
         "text_sha256",
         F.when(rest > 0, (F.expr(_HALF) - rest).cast("long")).alias("keep_id"),
         "group_size",
+        each_way("_ways").alias("_way"),
     )
     return (
-        base.select("doc_id", "text_sha256")
-        .join(found, "text_sha256")
+        base.select("doc_id", "text_sha256", "_way")
+        .join(found, ["text_sha256", "_way"])
         .select(
             "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
         )
