@@ -11,6 +11,8 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.llm.common import each_way, way_of, ways_used
+
 #: Fixed values: (host, path, verdict).
 RULES = [
     ("com", "/", "allow"),
@@ -75,28 +77,29 @@ def url_verdicts(
         raise ValueError(f"the rules have paths of more than {MAX_PATH_LENGTHS} lengths")
     host, path = split_url(F.col("_url"))
     parts = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("_url")).select(
-        "page_id", host.alias("host"), path.alias("path")
+        "page_id", host.alias("host"), path.alias("path"), way_of("page_id").alias("_way")
     )
-    # Copies of a (host, path) are looked up once; the row of a page needs only its own pair.
+    # Copies of a (host, path) are looked up once; the row of a page needs only its own pair, and those of a frequent
+    # pair, or without a host, meet their verdict in many tasks.
     labels = F.split("host", r"\.")
     expressions = (
         parts.where("host != ''")
-        .select("host", "path")
-        .distinct()
+        .groupBy("host", "path")
+        .agg(ways_used("_way").alias("_ways"))
         .withColumn("_labels", labels)
         .withColumn("_suffix", F.explode(F.expr("transform(sequence(1, size(_labels)), i -> array_join(slice(_labels, i, size(_labels)), '.'))")))
         .withColumn("_n", F.explode(F.array(*[F.lit(int(n)) for n in sorted(lengths)]) if lengths else F.expr("array_repeat(0, 0)")))
         .where(F.length("path") >= F.col("_n"))
         .withColumn("_made", F.sha2(F.concat_ws("\x00", "_suffix", F.expr("left(path, _n)")).cast("binary"), 256))
-        .select("host", "path", "_made", F.substring("_made", 1, prefix_chars).alias("_prefix"))
+        .select("host", "path", "_ways", "_made", F.substring("_made", 1, prefix_chars).alias("_prefix"))
     )
     best = (
         expressions.join(known, "_prefix")
         .where("_made = _digest")
-        .groupBy("host", "path")
+        .groupBy("host", "path", "_ways")
         .agg(F.max(F.struct("_len", "_host_len", "verdict", "rule")).alias("_best"))
-        .select("host", "path", F.col("_best.rule").alias("rule"), F.col("_best.verdict").alias("_verdict"))
+        .select("host", "path", each_way("_ways").alias("_way"), F.col("_best.rule").alias("rule"), F.col("_best.verdict").alias("_verdict"))
     )
-    return parts.join(best, ["host", "path"], "left").select(
+    return parts.join(best, ["host", "path", "_way"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("_verdict", F.lit(default)).alias("verdict")
     )
