@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import shared_dir, ship, written
+from granary.llm.common import each_way, shared_dir, ship, way_of, ways_used, written
 
 UNIT = 64
 HEADER_BYTES = 33  # signature and IHDR chunk
@@ -146,7 +146,7 @@ def read_headers(members: DataFrame, folder: str) -> DataFrame:
 
 
 def read_features(members: DataFrame, folder: str) -> DataFrame:
-    """One row per member with what its stored bytes give: digests, sizes, features."""
+    """One row per member with what its stored bytes give: digests, sizes, features; its ``ways`` are passed on."""
 
     def read(batches):
         filesystem, root = _open(folder)
@@ -161,6 +161,7 @@ def read_features(members: DataFrame, folder: str) -> DataFrame:
                 rows.append(
                     (
                         r.payload_sha256,
+                        r.ways,
                         len(payload),
                         hashlib.sha256(payload).hexdigest(),
                         zlib.crc32(payload[-UNIT:]),
@@ -169,10 +170,10 @@ def read_features(members: DataFrame, folder: str) -> DataFrame:
                         _features(payload, r.width, r.height),
                     )
                 )
-            yield pd.DataFrame(rows, columns=["_digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield pd.DataFrame(rows, columns=["_digest", "ways", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     return members.mapInPandas(
-        read, "_digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+        read, "_digest string, ways long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
 
 
@@ -192,8 +193,11 @@ def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc
     if "://" not in folder:
         folder = f"file://{folder.removeprefix('file:')}"
     manifest = written(store(docs, folder, id_col, text_col), "manifest")
-    members = manifest.groupBy("payload_sha256").agg(F.min(F.struct("shard", "offset", "length")).alias("_m")).select("payload_sha256", "_m.*")
+    manifest = manifest.withColumn("_way", way_of("doc_id"))
+    place = F.min(F.struct("shard", "offset", "length")).alias("_m")
+    members = manifest.groupBy("payload_sha256").agg(place, ways_used("_way").alias("ways")).select("payload_sha256", "ways", "_m.*")
     members = members.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
     media = read_features(read_headers(members, folder), folder)
-    places = manifest.select("doc_id", "n_bytes", F.col("payload_sha256").alias("_digest"))
-    return places.join(media, "_digest").drop("_digest")
+    places = manifest.select("doc_id", "n_bytes", F.col("payload_sha256").alias("_digest"), "_way")
+    media = media.withColumn("_way", each_way("ways")).drop("ways")
+    return places.join(media, ["_digest", "_way"]).drop("_digest", "_way")
