@@ -11,7 +11,7 @@ import re
 
 from granary.errors import SemanticError
 from granary.functions.catalog import ALLOWED, RHS_FUNCTIONS, type_family
-from granary.functions.expressions import IDENTIFIER, ExpressionError, Token, references, sole_aggregate, substitute, to_spark, tokenize
+from granary.functions.expressions import IDENTIFIER, ExpressionError, Token, closing, references, render, sole_aggregate, substitute, to_spark, tokenize
 from granary.model import Dimension, Model
 from granary.plans import navigator
 from granary.plans.fusion import Chosen, Fusion
@@ -80,6 +80,27 @@ def comparison(column: str, op: str, value, value_sql: str | None, data_type: st
     return f"{left} {op} {right}"
 
 
+def implied_dates(sql: str, op: str, value) -> list[str]:
+    """Date bounds that comparing ``YEAR(alias.column)`` with whole years implies; unlike the comparison, they reach the scan."""
+    tokens = tokenize(sql)
+    if [t.upper for t in tokens[:2]] != ["YEAR", "("] or closing(tokens, 1) != len(tokens) - 1:
+        return []
+    argument = tokens[2:-1]
+    given = value if isinstance(value, list) else [value]
+    if [t.kind in ("name", "quoted") for t in argument] != [True, False, True] or argument[1].text != "." or not given:
+        return []
+    if not all(re.fullmatch(r"\d{1,4}", str(v).strip()) and 1 <= int(v) < 9999 for v in given):
+        return []
+    years, column = [int(v) for v in given], to_spark(render(argument))
+    if op == "BETWEEN":
+        first, end = years[0], years[-1] + 1
+    else:
+        first = {"=": min(years), "IN": min(years), ">=": years[0], ">": years[0] + 1}.get(op)
+        end = {"=": max(years) + 1, "IN": max(years) + 1, "<=": years[0] + 1, "<": years[0]}.get(op)
+    bounds = [(">=", first), ("<", end)]
+    return [f"{column} {sign} DATE '{year:04d}-01-01'" for sign, year in bounds if year is not None]
+
+
 def checked_rhs(text: str, prefix: str) -> str:
     """A right-hand expression: permitted functions over literals only, nothing that could end the predicate."""
     try:
@@ -392,7 +413,10 @@ class Planner:
             where.append(to_spark(part.coverage))
         for f in filters:
             dim = self.dimension(f["dimension"])
-            where.append(comparison(f"({to_spark(attribute('DIMENSION', dim.name), dim.data_type)})", f["op"], f["value"], f["value_sql"], f["data_type"], "SEMANTIC_REQUEST"))
+            told = attribute("DIMENSION", dim.name)
+            where.append(comparison(f"({to_spark(told, dim.data_type)})", f["op"], f["value"], f["value_sql"], f["data_type"], "SEMANTIC_REQUEST"))
+            if f["value_sql"] is None:
+                where += implied_dates(told, f["op"], f["value"])
         aggregates, inputs = {}, {}
         for u in units:
             sql = unit_sql(u, argument(u.argument), predicate(u.filter) if u.filter else None, missing_sum_is_zero=not multi)

@@ -9,6 +9,8 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from granary.functions.catalog import spark_type
+from granary.functions.expressions import to_spark
 
 class Relations:
     """Resolves names without case. What isn't registered is looked up as ``schema.object`` in the session's catalog."""
@@ -42,6 +44,17 @@ class Relations:
         self.register_files(schema, name, path)
         return path
 
+    def register_function(self, schema: str, name: str, parameters: dict[str, str], returns: str, body: str) -> None:
+        """A scalar function that expressions may call as ``schema.name(...)``, in the session's catalog.
+
+        Parameters are names with types; the body is an expression over them, which Catalyst puts in place of a call.
+        Functions of other kinds made with CREATE FUNCTION in that schema are called alike.
+        """
+        quoted = [f"`{part.replace('`', '``')}`" for part in (schema, name)]
+        told = ", ".join(f"{p} {spark_type(t)}" for p, t in parameters.items())
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted[0]}")
+        self.spark.sql(f"CREATE OR REPLACE FUNCTION {'.'.join(quoted)}({told}) RETURNS {spark_type(returns)} RETURN {to_spark(body, returns)}")
+
     def find(self, schema: str, name: str) -> DataFrame | None:
         key = schema.upper(), name.upper()
         if key not in self._known:
