@@ -233,3 +233,14 @@ def test_url_rules_of_other_shapes(spark):
     assert [r.verdict for r in url_verdicts(pages, rules_frame(spark, rules).limit(0), default="block").collect()] == ["block"] * 5
     assert url_verdicts(pages.limit(0), rules_frame(spark)).count() == 0
     assert urlsplit(urls[0]).hostname == "q.com"
+
+
+def test_large_groups_get_their_verdict_in_parts(spark):
+    rows = [(i, "the same text" if i % 3 else f"text {i}") for i in range(900)] + [(None, "the same text"), (None, None)]
+    out = duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in out.collect() if r.doc_id is not None}
+    assert out.count() == 902 and got == {i: (1, 601, i == 1) if i % 3 else (i, 1, True) for i in range(900)}
+    urls = [(i, "https://www.example.com/en/a" if i % 3 else (None if i % 2 else f"https://h{i}.net/es/")) for i in range(900)]
+    judged = url_verdicts(spark.createDataFrame(urls, "page_id long, url string"), rules_frame(spark)).collect()
+    wanted = {i: ("www.example.com/en/", "allow") if i % 3 else ((None, "allow") if i % 2 else ("net/es/", "block")) for i in range(900)}
+    assert len(judged) == 900 and {r.page_id: (r.rule, r.verdict) for r in judged} == wanted
