@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 _SHIPPED: set[str] = set()
 _REMEMBERED: dict[str, Callable[[], None]] = {}
+_WORKED: list[str] = []  # the operator of this worker's last task
 
 
 def remembers(operator: str, forget: Callable[[], None]) -> None:
@@ -22,13 +25,22 @@ def remembers(operator: str, forget: Callable[[], None]) -> None:
 
 
 def working(operator: str) -> None:
-    """Called as a task of ``operator`` begins: what others remember goes, as a worker lives on from one to the next."""
+    """Called as a task of ``operator`` begins: what others remember goes, as a worker lives on from one to the next.
+
+    After another operator's task the free memory goes back to the system too, which malloc else keeps.
+    """
     import pyarrow
 
     for other, forget in _REMEMBERED.items():
         if other != operator:
             forget()
     pyarrow.default_memory_pool().release_unused()
+    if _WORKED != [operator]:
+        _WORKED[:] = [operator]
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim:
+            trim(0)
 
 
 def ship(spark: SparkSession) -> None:

@@ -10,6 +10,7 @@ Executors then look their pieces' places up by rank within a length.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from array import array
 
@@ -24,8 +25,10 @@ from granary.llm.common import remembers, ship, working, written
 END_ID = 2
 _CACHES: dict[str, Recent] = {}
 _LOADED: dict[str, tuple] = {}
-_MOST_CACHED = 700_000
+#: Bytes that a half of what is remembered may take in a worker; frequent words stay, so few are encoded twice.
+_MOST_CACHED = 40 << 20
 _LONG = 64
+_ENTRY = 100  # bytes of a dictionary for each entry, at most
 #: The byte-level pre-tokenizer's word pattern, and characters of which all Unicode versions agree.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PLAIN = re.compile("[\t\n\r -~\xa1-\u024f]*")
@@ -112,41 +115,63 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> tuple[dict[int
 
 
 class Recent(dict):
-    """What ``make`` gives for a key, remembered; of more than ``most`` keys those used since the last half stay."""
+    """What ``make`` gives for a key, remembered; beyond ``most`` bytes those used since the last half stay."""
 
     def __init__(self, make, most: int = _MOST_CACHED):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.old, self.held = make, most, {}, 0
 
     def __missing__(self, key: str) -> bytes:
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
         if len(key) <= _LONG:
-            if len(self) >= self.most:
-                self.old = dict(self)
+            if self.held >= self.most:
+                self.old = {}
+                self.old, self.held = dict(self), 0
                 self.clear()
             self[key] = found
+            self.held += sys.getsizeof(key) + sys.getsizeof(found) + _ENTRY
         return found
 
 
 def _forget() -> None:
     for cache in _CACHES.values():
-        cache.old = {}
+        cache.old, cache.held = {}, 0
         cache.clear()
 
 
 remembers("packing", _forget)
 
 
+def _loaded(path: str) -> tuple:
+    """A file's one tokenizer, and a search for its added tokens (None without any)."""
+    if path not in _LOADED:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        _LOADED.clear()
+        _LOADED[path] = tokenizer, re.compile("|".join(map(re.escape, added))).search if added else None
+    return _LOADED[path]
+
+
+def _as_loaded(tokenizer, text: str) -> list[int]:
+    """A text's ids by the tokenizer as its file has it: added tokens get their ids."""
+    tokenizer.encode_special_tokens = False
+    try:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+    finally:
+        tokenizer.encode_special_tokens = True
+
+
 def _tokenizer(path: str) -> Recent:
     """Ids of what stands between two cuts, as bytes, for one tokenizer file."""
     if path not in _CACHES:
         import regex
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        tokenizer, _ = _loaded(path)
         model, words = tokenizer.model, regex.compile(_WORDS)
 
         def of_word(word: str) -> bytes:
@@ -172,18 +197,6 @@ def _tokenizer(path: str) -> Recent:
     return _CACHES[path]
 
 
-def _as_loaded(path: str):
-    """A tokenizer file's tokenizer, nothing set, and a search for its added tokens (None without any)."""
-    if path not in _LOADED:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        _LOADED.clear()
-        _LOADED[path] = tokenizer, re.compile("|".join(map(re.escape, added))).search if added else None
-    return _LOADED[path]
-
-
 def encode(texts: list[str], path: str, added: bool = False) -> list[bytes]:
     """The ids of each text, as little-endian unsigned 32-bit numbers.
 
@@ -195,10 +208,10 @@ def encode(texts: list[str], path: str, added: bool = False) -> list[bytes]:
     white space around a space is joined back there before it is looked up.
     """
     cache, out = _tokenizer(path), []
-    whole, holds = _as_loaded(path) if added else (None, None)
+    tokenizer, holds = _loaded(path)
     for text in texts:
-        if holds and holds(text):
-            out.append(np.asarray(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+        if added and holds and holds(text):
+            out.append(np.asarray(_as_loaded(tokenizer, text), "<u4").tobytes())
             continue
         words = text.split(" ")
         words[0] = " " + words[0]

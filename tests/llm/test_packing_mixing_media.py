@@ -1,4 +1,5 @@
 import hashlib
+import sys
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -7,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from granary.llm import packing
 from granary.llm.media import UNIT, from_png, media_columns, payload_of, png_header, read_headers, store, to_png
 from granary.llm.mixing import block_choice, mix, sainte_lague, targets
 from granary.llm.packing import SegmentTree, best_fit_decreasing, encode, pack, pieces
@@ -48,6 +50,16 @@ def test_encode_any_text(text):
     assert encode([text], tokenizer_path())[0] == ids(_T, text).tobytes()
 
 
+def test_what_encoding_remembers_is_bounded_in_bytes():
+    for first in range(0, 900_000, 100_000):
+        encode([" ".join(f"w{k:07d}" for k in range(first, first + 100_000))], tokenizer_path())
+    cache = packing._CACHES[tokenizer_path()]
+    entries = [*cache.items(), *cache.old.items()]
+    held = sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in entries) + sys.getsizeof(cache) + sys.getsizeof(cache.old)
+    packing._forget()
+    assert 0 < held < 90 << 20
+
+
 def one_by_one(lengths, capacity):
     """Best-fit decreasing, a piece at a time over a list of bins."""
     bins = []
