@@ -6,6 +6,10 @@ membership probes, is never too low, and is too high by a level only with the fi
 cut into segments by n-gram hash: a reducer counts its n-grams exactly and builds its segment. The filter grows with
 the input and holds every n-gram: finished segments go to files in the shared folder, which workers map into memory
 and probe there; the driver and the broadcast hold their places and sizes alone.
+
+What a token adds to a score hangs on three levels: those of the word before, of its own and of the pair. So each
+token is probed once and kept as a code of the three; the weights are fitted on the codes of all training documents,
+and the scores summed from a table over the codes.
 """
 
 from __future__ import annotations
@@ -28,6 +32,9 @@ BASE = 2.0
 BANDS, QUOTIENTS = 40, 258
 #: Segments in a file of the stored filter.
 SEGMENTS_A_FILE = 16
+#: A code is three levels below LEVELS.
+LEVELS = 64
+CODES = LEVELS**3
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW40 = np.uint64((1 << 40) - 1)
 
@@ -52,7 +59,7 @@ def bigrams(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """Word to row number of growing arrays: its hash, its exact count (-1: unknown here), its count by the filter.
+    """Word to row number of growing arrays: its hash, its exact count (-1: unknown here), its level in the filter.
 
     When there are too many, all are forgotten before the next look-up.
     """
@@ -65,7 +72,7 @@ class Words(dict):
     def forget(self) -> None:
         self.clear()
         self.fresh: list[bytes] = []
-        self.hashes, self.known, self.seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+        self.hashes, self.known, self.seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __missing__(self, word: bytes) -> int:
         at = self[word] = len(self)
@@ -84,7 +91,7 @@ class Words(dict):
             self.hashes = np.concatenate([self.hashes, h])
             if self.table is not None:
                 self.known = np.concatenate([self.known, np.fromiter((self.counts.get(w, -1) for w in self.fresh), np.int64, len(h))])
-                self.seen = np.concatenate([self.seen, expected(self.table.levels(mix64(h + _M1)))])
+                self.seen = np.concatenate([self.seen, self.table.levels(mix64(h + _M1))])
             self.fresh = []
         return at
 
@@ -306,30 +313,43 @@ class Model:
     def words(self) -> Words:
         return Words(self.heavy, self.table)
 
-    def counts(self, words: Words, at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts by the filter of each token, of the one before, and of the pair."""
+    def codes(self, words: Words, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The code of each token: levels in the filter of the token before, of its own, of the pair."""
         one = words.seen[at]
         before = np.empty_like(one)
         before[1:] = one[:-1]
-        before[starts] = expected(self.table.levels(mix64(np.array([_END_HASH]) + _M1)))[0]
+        before[starts] = self.table.levels(mix64(np.array([_END_HASH]) + _M1))[0]
         pairs, back = np.unique(bigrams(words.hashes[at], starts), return_inverse=True)
-        return one, before, expected(self.table.levels(pairs))[back]
-
-    def log10(self, one: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at), "<u4")
+        for levels in (before, one, self.table.levels(pairs)[back]):
+            out = out * np.uint32(LEVELS) + np.minimum(levels, LEVELS - 1).astype("<u4")
+        return out
+
+    def log10(self) -> np.ndarray:
+        """What a token of each code adds to a score."""
+        before, one, pair = counts_of(np.arange(CODES))
         alone = (one + 1) / (self.total + self.distinct + 1)
         weight = self.weights[band_of(before)]
         share = np.minimum(1.0, pair / np.maximum(1.0, before))
         return np.log10(np.where(before > 0, weight * share + (1 - weight) * alone, alone))
 
-    def observed(self, one: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """How many tokens have each band and quotient of the pair's estimate by the word's, the token itself left out.
+    def observed(self, tokens: np.ndarray) -> np.ndarray:
+        """How many tokens, given for each code, have each band and quotient of the pair's estimate by the word's.
 
-        The first of QUOTIENTS columns is quotient 0; the others are quarters of its binary logarithm.
+        The token itself is left out of its counts. The first of QUOTIENTS columns is quotient 0; the others are
+        quarters of its binary logarithm.
         """
+        used = np.flatnonzero(tokens)
+        before, one, pair = counts_of(used)
         share = np.minimum(1.0, np.maximum(0, pair - 1) / np.maximum(1.0, before - 1))
         alone = np.maximum(one, 1.0) / max(1, self.total + self.distinct)
         step = np.where(share > 0, np.clip(np.floor(4 * np.log2(np.maximum(share, 1e-300) / alone)) + QUOTIENTS // 2, 1, QUOTIENTS - 1), 0)
-        return np.bincount(band_of(before) * QUOTIENTS + step.astype(np.int64), minlength=BANDS * QUOTIENTS)
+        return np.bincount(band_of(before) * QUOTIENTS + step.astype(np.int64), tokens[used], BANDS * QUOTIENTS)
+
+
+def counts_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of the token before, of the token and of the pair, as codes have them."""
+    return expected(codes // LEVELS**2), expected(codes // LEVELS % LEVELS), expected(codes % LEVELS)
 
 
 def band_of(before: np.ndarray) -> np.ndarray:
@@ -413,23 +433,15 @@ def vocabulary(kept: DataFrame) -> DataFrame:
     return kept.select(F.explode(F.arrays_zip("tokens", "counts")).alias("_t")).select(F.col("_t.tokens").alias("token"), F.col("_t.counts").alias("n"))
 
 
-def train(
+def counted(
     docs: DataFrame,
     text_col: str = "text",
-    id_col: str = "doc_id",
     bits_per_item: int = 8,
     hashes: int = 5,
     most_heavy: int = 100_000,
-    tuning_share: float = 1 / 32,
-    tuning_least: int = 300,
     max_buckets: int = 1 << 20,
 ) -> tuple[Model, DataFrame]:
-    """(model, vocabulary): all of ``docs`` counted into a filter, in the shared folder, that holds every n-gram.
-
-    The filter grows with its input; segments follow the number of input partitions. ``most_heavy`` of the most
-    frequent words have their exact counts beside it, for the base score alone. The weights are fitted on
-    ``tuning_share`` of the documents, at least about ``tuning_least``, picked by a hash of their id.
-    """
+    """(model, vocabulary) of all of ``docs``, with weights that aren't fitted yet."""
     spark = docs.sparkSession
     ship(spark)
     buckets = 64
@@ -447,36 +459,45 @@ def train(
         have += r.v
     frequent = vocab.where(((F.col("n") >= least) & (F.length("token") <= 64)) | (F.col("token") == ""))
     heavy = {r.token.encode(): r.n for r in frequent.collect()}
-    model = Model(store(kept, buckets, hashes), heavy, total, distinct, np.full(BANDS, 0.3))
-    edge = int(min(1.0, max(tuning_share, tuning_least / max(1, heavy.get(END, 0)))) * (1 << 32))
-    shared = spark.sparkContext.broadcast(model)
+    return Model(store(kept, buckets, hashes), heavy, total, distinct, np.full(BANDS, 0.3)), vocab
+
+
+def fit(model: Model, coded: DataFrame) -> None:
+    """Fit the model's weights on all rows of ``_codes``. The driver gets a number for each band and quotient."""
 
     def observe(batches):
-        words, seen = shared.value.words(), np.zeros(BANDS * QUOTIENTS, np.int64)
+        tokens = np.zeros(CODES, np.int64)
         for batch in batches:
-            for _, some, starts in chunks(batch["_text"]):
-                seen += shared.value.observed(*shared.value.counts(words, words.rows(some), starts))
+            tokens += np.bincount(np.frombuffer(b"".join(batch["_codes"]), "<u4"), minlength=CODES)
+        seen = numbers.value.observed(tokens)
         at = np.flatnonzero(seen)
         if len(at):  # Spark takes no frame without rows
-            yield pd.DataFrame({"at": at.astype(np.int32), "n": seen[at]})
+            yield pd.DataFrame({"at": at.astype(np.int32), "n": seen[at].astype(np.int64)})
 
-    picked = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(17)), F.lit(1 << 32)) < edge).select(F.col(text_col).alias("_text"))
+    numbers = coded.sparkSession.sparkContext.broadcast(Model(None, {}, model.total, model.distinct, model.weights))
     observed = np.zeros(BANDS * QUOTIENTS)
-    for r in picked.mapInPandas(observe, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for r in coded.select("_codes").mapInPandas(observe, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         observed[r["at"]] = r["n"]
     model.weights = fit_weights(observed)
-    return model, vocab
 
 
-def score(docs: DataFrame, model: Model, vocab: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
+def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **parameters) -> tuple[Model, DataFrame]:
+    """(model, vocabulary): all of ``docs`` counted into a filter, in the shared folder, that holds every n-gram.
 
-    ``base_score`` and ``n_known`` are exact: words outside the model's frequent ones are looked up in the whole
-    vocabulary by a join. ``score`` is the model's log10 probability; all its counts, of words and of pairs, come from
-    the filter by membership probes.
+    The filter grows with its input; segments follow the number of input partitions. ``most_heavy`` of the most
+    frequent words have their exact counts beside it, for the base score alone. The weights are fitted on all of
+    ``docs`` too. ``parameters`` are those of ``counted``.
+    """
+    model, vocab = counted(docs, text_col, **parameters)
+    fit(model, probed(docs, model, None, id_col, text_col))
+    return model, vocab
 
-    Defined cases: a null or empty text is the end token alone; very long texts are scored whole; repeated rows and null ids give a row each; with
-    nothing learned all counts are 0; an empty table gives an empty result; other columns are ignored.
+
+def probed(docs: DataFrame, model: Model, held_out: Column | None, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: ``_row, doc_id, held_out, n_tokens, _known, _base, _codes, _rest``.
+
+    ``_codes`` has a code of 4 bytes for each token. ``_known`` and ``_base`` are of the model's frequent words, and
+    ``_rest`` has the others.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -491,7 +512,7 @@ def score(docs: DataFrame, model: Model, vocab: DataFrame, held_out: Column | No
             for first, some, starts in chunks(batch["_text"]):
                 at = words.rows(some)
                 known = words.known[at]
-                logs = m.log10(*m.counts(words, at, starts))
+                codes = m.codes(words, at, starts)
                 base = np.where(known >= 0, np.log10((np.maximum(known, 0) + 1) / below), 0.0)
                 ends = np.append(starts[1:], len(some))
                 rest = known < 0
@@ -504,7 +525,7 @@ def score(docs: DataFrame, model: Model, vocab: DataFrame, held_out: Column | No
                         "n_tokens": ends - starts,
                         "_known": np.add.reduceat(known > 0, starts, dtype=np.int64),
                         "_base": np.add.reduceat(base, starts),
-                        "score": np.add.reduceat(logs, starts),
+                        "_codes": [codes[a:b].tobytes() for a, b in zip(starts, ends, strict=True)],
                         "_rest": [
                             b" ".join([some[i] for i in a + np.flatnonzero(rest[a:b])]).decode() for a, b in zip(starts, ends, strict=True)
                         ],
@@ -515,14 +536,21 @@ def score(docs: DataFrame, model: Model, vocab: DataFrame, held_out: Column | No
     rows = docs.select(
         F.col(id_col).alias("doc_id"), (F.lit(None).cast("boolean") if held_out is None else held_out).alias("held_out"), F.col(text_col).alias("_text")
     )
-    scored = written(
-        rows.mapInPandas(
-            read, f"_row long, doc_id {kind}, held_out boolean, n_tokens long, _known long, _base double, score double, _rest string"
-        ),
-        "scored",
-    )
+    return rows.mapInPandas(read, f"_row long, doc_id {kind}, held_out boolean, n_tokens long, _known long, _base double, _codes binary, _rest string")
+
+
+def summed(coded: DataFrame, model: Model, vocab: DataFrame) -> DataFrame:
+    """The scores of written rows of ``probed``."""
+    below, table = float(model.total + model.distinct + 1), coded.sparkSession.sparkContext.broadcast(model.log10())
+
+    @F.pandas_udf("double")
+    def score_of(codes: pd.Series) -> pd.Series:
+        n = codes.map(len).to_numpy(np.int64) // 4  # the end token's at least
+        logs = table.value[np.frombuffer(b"".join(codes), "<u4")]
+        return pd.Series(np.add.reduceat(logs, np.cumsum(n) - n) if len(n) else np.zeros(0))
+
     rare = (
-        scored.where("_rest != ''")
+        coded.where("_rest != ''")
         .select("_row", F.explode(F.split("_rest", " ")).alias("token"))
         .join(vocab, "token", "left")
         .groupBy("_row")
@@ -531,7 +559,8 @@ def score(docs: DataFrame, model: Model, vocab: DataFrame, held_out: Column | No
             F.count("n").alias("_more_known"),
         )
     )
-    return scored.join(rare, "_row", "left").select(
+    # The codes stay behind as rows go to the join.
+    return coded.select("_row", "doc_id", "held_out", "n_tokens", "_known", "_base", score_of("_codes").alias("score")).join(rare, "_row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
@@ -542,7 +571,22 @@ def score(docs: DataFrame, model: Model, vocab: DataFrame, held_out: Column | No
     )
 
 
+def score(docs: DataFrame, model: Model, vocab: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
+
+    ``base_score`` and ``n_known`` are exact: words outside the model's frequent ones are looked up in the whole
+    vocabulary by a join. ``score`` is the model's log10 probability; all its counts, of words and of pairs, come from
+    the filter by membership probes.
+
+    Defined cases: a null or empty text is the end token alone; very long texts are scored whole; repeated rows and null ids give a row each; with
+    nothing learned all counts are 0; an empty table gives an empty result; other columns are ignored.
+    """
+    return summed(written(probed(docs, model, held_out, id_col, text_col), "scored"), model, vocab)
+
+
 def learn_and_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """Learn from the rows that aren't ``held_out``, and score all."""
-    model, vocab = train(docs.where(~held_out), text_col, id_col, **parameters)
-    return score(docs, model, vocab, held_out, id_col, text_col)
+    """Learn from the rows that aren't ``held_out``, and score all, as ``train`` and ``score`` do, with each token probed once."""
+    model, vocab = counted(docs.where(~held_out), text_col, **parameters)
+    coded = written(probed(docs, model, held_out, id_col, text_col), "scored")
+    fit(model, coded.where("NOT held_out"))
+    return summed(coded, model, vocab)

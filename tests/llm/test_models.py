@@ -152,6 +152,31 @@ def test_scores_equal_a_model_with_exact_counts(spark):
     assert (0 < model.weights).all() and (model.weights < 1).all()
 
 
+def test_weights_are_fitted_on_all_training_documents(spark):
+    """The weights equal those of plain Python over every training document, alone and when all are scored at once."""
+    rng = random.Random(9)
+    rows = [(k, " ".join(f"v{int(30 * rng.random() ** 3)}" for _ in range(1 + k % 12))) for k in range(1500)]
+    docs, held = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), fold_of("doc_id", 7) == 2
+    model, vocab = lm_score.train(docs.where(~held), bits_per_item=400)
+    learned = [w.encode().split() + [b""] for k, w in rows if zlib.crc32(str(k).encode()) % 7 != 2]
+    pairs = [p for w in learned for p in zip([b"", *w], w, strict=False)]
+    one, two = Counter(t for w in learned for t in w), Counter(pairs)
+
+    def count(n):
+        return 1 if n == 1 else 2 ** int(math.log2(n)) / math.log(2)
+
+    seen = np.zeros((lm_score.BANDS, lm_score.QUOTIENTS))
+    for (a, b), n in two.items():
+        before = count(one[a])
+        share = min(1.0, max(0, count(n) - 1) / max(1.0, before - 1))
+        quotient = share / (count(one[b]) / (sum(one.values()) + len(one)))
+        seen[int(math.log2(before + 1)), math.floor(4 * math.log2(quotient)) + lm_score.QUOTIENTS // 2 if quotient else 0] += n
+    assert np.allclose(model.weights, lm_score.fit_weights(seen), rtol=0, atol=1e-9)
+    apart = {r.doc_id: r.score for r in lm_score.score(docs, model, vocab, held).collect()}
+    at_once = {r.doc_id: r.score for r in lm_score.learn_and_score(docs, held, bits_per_item=400).collect()}
+    assert len(apart) == 1500 and at_once == pytest.approx(apart)
+
+
 def test_empty_training(spark):
     assert lm_score.learn_and_score(empty(spark), fold_of("doc_id", 7) == 2).count() == 0
     got = lm_score.learn_and_score(messy(spark), F.lit(True)).collect()
