@@ -25,8 +25,8 @@ from granary.llm.common import remembers, ship, working, written
 END_ID = 2
 _CACHES: dict[str, Recent] = {}
 _LOADED: dict[str, tuple] = {}
-#: Bytes that a half of what is remembered may take in a worker; frequent words stay, so few are encoded twice.
-_MOST_CACHED = 40 << 20
+#: Bytes that a half of what is remembered may take in a worker; smaller halves encode more words anew.
+_MOST_CACHED = 96 << 20
 _LONG = 64
 _ENTRY = 100  # bytes of a dictionary for each entry, at most
 #: The byte-level pre-tokenizer's word pattern, and characters of which all Unicode versions agree.
@@ -35,6 +35,7 @@ _PLAIN = re.compile("[\t\n\r -~\xa1-\u024f]*")
 #: Bytes as the characters that stand for them in the vocabulary: printable ones as they are, the others from U+0100 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = {b: chr(b) for b in _PRINTABLE} | {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_SPACE = _BYTES[0x20]
 _ODD = re.compile(r"\s | \s|^ | $")
 
 
@@ -174,13 +175,16 @@ def _tokenizer(path: str) -> Recent:
         tokenizer, _ = _loaded(path)
         model, words = tokenizer.model, regex.compile(_WORDS)
 
+        def of_symbols(symbols: str) -> bytes:
+            return array("I", [t.id for t in model.tokenize(symbols)]).tobytes()
+
         def of_word(word: str) -> bytes:
-            return array("I", [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+            return of_symbols(word.encode().decode("latin-1").translate(_BYTES))
 
         def of_key(key: str) -> bytes:
             """Ids of a space and the key; of the rest alone if the key begins with a space."""
             if key.isascii() and key.isalpha():
-                return of_word(" " + key)
+                return of_symbols(_SPACE + key)
             part = key[1:] if key[:1] == " " else " " + key
             # Where all versions of Unicode agree on letters and digits, the words are found here and go to the
             # tokenizer's model one by one; other text goes through the tokenizer on the whole.

@@ -51,13 +51,11 @@ def test_encode_any_text(text):
 
 
 def test_what_encoding_remembers_is_bounded_in_bytes():
-    for first in range(0, 900_000, 100_000):
-        encode([" ".join(f"w{k:07d}" for k in range(first, first + 100_000))], tokenizer_path())
-    cache = packing._CACHES[tokenizer_path()]
-    entries = [*cache.items(), *cache.old.items()]
-    held = sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in entries) + sys.getsizeof(cache) + sys.getsizeof(cache.old)
-    packing._forget()
-    assert 0 < held < 90 << 20
+    cache = packing.Recent(lambda key: bytes(4 * len(key)), 1 << 20)
+    for k in range(100_000):
+        assert len(cache[f"{k:060d}"]) == 240
+    held = sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in [*cache.items(), *cache.old.items()])
+    assert 1 << 19 < held < 2 << 20
 
 
 def one_by_one(lengths, capacity):
