@@ -4,7 +4,8 @@ A task writes the payloads it meets first as lossless 8-bit grey PNG members of
 folder; rows carry digest, shard, offset and length. Metadata columns are filled from the first bytes of a
 member alone; features read the member. Shards have names of their own for each attempt and are renamed into
 place when complete, so a retried task never mixes with a lost one; only rows of the attempt that counts name
-its shard.
+its shard. Equal payloads share a member within a task; the rows of other tasks point to members of their own
+shards, with the same bytes.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import each_way, shared_dir, ship, way_of, ways_used, written
+from granary.llm.common import shared_dir, ship, written
 
 UNIT = 64
 HEADER_BYTES = 33  # signature and IHDR chunk
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _WIDEST = 256
+REMEMBERED = 20_000  # members whose features a reading task remembers
 
 
 def payload_of(text: str | None) -> bytes:
@@ -145,43 +147,50 @@ def read_headers(members: DataFrame, folder: str) -> DataFrame:
     return members.mapInPandas(read, f"{schema}, width long, height long, depth long")
 
 
-def read_features(members: DataFrame, folder: str) -> DataFrame:
-    """One row per member with what its stored bytes give: digests, sizes, features; its ``ways`` are passed on."""
+def read_features(manifest: DataFrame, folder: str) -> DataFrame:
+    """One row for each row of ``manifest`` with what its stored bytes give: digests, sizes, features.
+
+    A task reads members in the order in which they were written: the metadata from HEADER_BYTES of each, then the
+    member. What it found for the last ones, at most REMEMBERED, serves their copies; a copy of another is read again.
+    """
+    kind = manifest.schema["doc_id"].dataType.simpleString()
 
     def read(batches):
         filesystem, root = _open(folder)
-        shard, file = None, None
+        shard, file, found = None, None, {}
         for batch in batches:
             rows = []
-            for r in batch.itertuples(index=False):
-                if r.shard != shard:
-                    shard, file = r.shard, filesystem.open_input_file(f"{root}/{r.shard}")
-                data = file.read_at(r.length, r.offset)
-                payload = from_png(data)
-                rows.append(
-                    (
-                        r.payload_sha256,
-                        r.ways,
+            for key, n, name, at, length in zip(*[batch[c] for c in ("doc_id", "n_bytes", "shard", "offset", "length")], strict=True):
+                if name != shard:
+                    shard, file, found = name, filesystem.open_input_file(f"{root}/{name}"), {}
+                if at not in found:
+                    if len(found) >= REMEMBERED:
+                        found.clear()
+                    width, height, _ = png_header(file.read_at(HEADER_BYTES, at))
+                    data = file.read_at(length, at)
+                    payload = from_png(data)
+                    found[at] = (
                         len(payload),
                         hashlib.sha256(payload).hexdigest(),
                         zlib.crc32(payload[-UNIT:]),
                         len(data),
                         hashlib.sha256(data).hexdigest(),
-                        _features(payload, r.width, r.height),
+                        _features(payload, width, height),
                     )
-                )
-            yield pd.DataFrame(rows, columns=["_digest", "ways", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                rows.append((key, n, *found[at]))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return members.mapInPandas(
-        read, "_digest string, ways long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return manifest.select("doc_id", "n_bytes", "shard", "offset", "length").mapInPandas(
+        read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
 
 
 def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store every text's payload, read it back, and return one row per document.
 
-    ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, shard,
-    offset``. All rows of a digest point to one member, so equal texts have equal values.
+    ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature``, all of which
+    hang on the text alone, so equal texts have equal values whichever member they were read from. No row leaves its
+    task, so there is nothing to shuffle or sort, and no group of copies to meet in one place.
 
     Defined cases: a null text is an empty one, whose payload is UNIT zeros; texts of any length are one
     member each; repeated rows and null ids give a row each; an empty table gives an empty result; other
@@ -192,12 +201,4 @@ def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc
     folder = folder or f"{shared_dir(spark).rstrip('/')}/media-{uuid.uuid4().hex}"
     if "://" not in folder:
         folder = f"file://{folder.removeprefix('file:')}"
-    manifest = written(store(docs, folder, id_col, text_col), "manifest")
-    manifest = manifest.withColumn("_way", way_of("doc_id"))
-    place = F.min(F.struct("shard", "offset", "length")).alias("_m")
-    members = manifest.groupBy("payload_sha256").agg(place, ways_used("_way").alias("ways")).select("payload_sha256", "ways", "_m.*")
-    members = members.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
-    media = read_features(read_headers(members, folder), folder)
-    places = manifest.select("doc_id", "n_bytes", F.col("payload_sha256").alias("_digest"), "_way")
-    media = media.withColumn("_way", each_way("ways")).drop("ways")
-    return places.join(media, ["_digest", "_way"]).drop("_digest", "_way")
+    return read_features(written(store(docs, folder, id_col, text_col), "manifest"), folder)

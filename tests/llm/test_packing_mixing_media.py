@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from granary.llm import packing
+from granary.llm import media, packing
 from granary.llm.media import UNIT, from_png, media_columns, payload_of, png_header, read_headers, store, to_png
 from granary.llm.mixing import block_choice, mix, sainte_lague, targets
 from granary.llm.packing import SegmentTree, best_fit_decreasing, encode, pack, pieces
@@ -260,3 +260,15 @@ def test_shards_are_tar_files_and_headers_are_read_alone(spark, tmp_path):
         assert name == f"{r.payload_sha256}.png" and len(data) == r.length and hashlib.sha256(from_png(data)).hexdigest() == r.payload_sha256
     heads = read_headers(manifest.select("shard", "offset"), folder).collect()
     assert all(h.width * h.height == len(from_png(found[h.shard, h.offset][1])) for h in heads)
+
+
+def test_media_is_read_where_it_lies(spark, tmp_path, monkeypatch):
+    """No shuffle, no sort, one Python worker a task; copies within and beyond what is remembered, null ids."""
+    monkeypatch.setattr(media, "REMEMBERED", 3)
+    rows = [(None if k % 50 == 0 else k, f"text {k % 7 if k % 2 else 0}") for k in range(400)]
+    got = media_columns(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), str(tmp_path / "store"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and not any(x in plan for x in ("Exchange", "Sort", "Join", "Aggregate"))
+    found = got.collect()
+    assert Counter((r.doc_id, r.payload_sha256) for r in found) == Counter((i, hashlib.sha256(payload_of(t)).hexdigest()) for i, t in rows)
+    assert len({tuple(r)[1:] for r in found}) == len({t for _, t in rows})
