@@ -36,7 +36,9 @@ _PLAIN = re.compile("[\t\n\r -~\xa1-\u024f]*")
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = {b: chr(b) for b in _PRINTABLE} | {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _SPACE = _BYTES[0x20]
-_ODD = re.compile(r"\s | \s|^ | $")
+_ODD = re.compile(r" (?:(?<=\s )|(?<=^ )|(?=\s)|\Z)")  # a space beside white space or an end; its first sign found fast
+#: Keys of up to 64 plain characters, no space among them and no white space around.
+_SIMPLE = re.compile("[!-~\xa1-\u024f](?:[\t\n\r!-~\xa1-\u024f]{0,62}[!-~\xa1-\u024f])?").fullmatch
 
 
 class SegmentTree:
@@ -116,16 +118,24 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> tuple[dict[int
 
 
 class Recent(dict):
-    """What ``make`` gives for a key, remembered; beyond ``most`` bytes those used since the last half stay."""
+    """What ``make`` gives for a key, remembered; beyond ``most`` bytes those used since the last half stay.
 
-    def __init__(self, make, most: int = _MOST_CACHED):
+    ``make_all`` gives the same for several keys at once, in their order.
+    """
+
+    def __init__(self, make, most: int = _MOST_CACHED, make_all=None):
         super().__init__()
         self.make, self.most, self.old, self.held = make, most, {}, 0
+        self.make_all = make_all or (lambda keys: map(make, keys))
 
     def __missing__(self, key: str) -> bytes:
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
+        self.keep(key, found)
+        return found
+
+    def keep(self, key: str, found: bytes) -> None:
         if len(key) <= _LONG:
             if self.held >= self.most:
                 self.old = {}
@@ -133,6 +143,16 @@ class Recent(dict):
                 self.clear()
             self[key] = found
             self.held += sys.getsizeof(key) + sys.getsizeof(found) + _ENTRY
+
+    def of(self, keys: list[str]) -> list[bytes]:
+        """For each of the keys, which aren't in the newer half, what is remembered or else made."""
+        found = list(map(self.old.get, keys))
+        gaps = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(gaps, self.make_all([keys[k] for k in gaps]), strict=True):
+            found[k] = ids
+        for key, ids in zip(keys, found, strict=True):
+            if key not in self:
+                self.keep(key, ids)
         return found
 
 
@@ -179,6 +199,8 @@ def _tokenizer(path: str) -> Recent:
             return array("I", [t.id for t in model.tokenize(symbols)]).tobytes()
 
         def of_word(word: str) -> bytes:
+            if word.isascii() and word.isprintable():
+                return of_symbols(word.replace(" ", _SPACE))
             return of_symbols(word.encode().decode("latin-1").translate(_BYTES))
 
         def of_key(key: str) -> bytes:
@@ -195,12 +217,48 @@ def _tokenizer(path: str) -> Recent:
                 return b"".join(map(of_word, found))
             return b"".join([cache[w[1:] if w[:1] == " " and len(w) > 1 and w[1] != " " else " " + w] for w in found])
 
-        cache = Recent(of_key)
+        def together(keys: list[str]) -> list[bytes]:
+            """``of_key`` of simple keys; each begins a word with its space, and no other word begins with one."""
+            out: list[bytes] = []
+            for word in words.findall(" " + " ".join(keys)):
+                begins = word[0] == " "
+                key = word[1:] if begins else " " + word
+                ids = cache.get(key) or cache.old.get(key)
+                if ids is None:
+                    ids = of_word(word)
+                    cache.keep(key, ids)
+                if begins:
+                    out.append(ids)
+                else:
+                    out[-1] += ids
+            return out
+
+        def of_keys(keys: list[str]) -> list[bytes]:
+            simple = [k for k in keys if not (k.isascii() and k.isalpha()) and _SIMPLE(k)]
+            made = dict(zip(simple, together(simple), strict=True)) if simple else {}
+            return [made[k] if k in made else of_key(k) for k in keys]
+
+        cache = Recent(of_key, make_all=of_keys)
         _CACHES.clear()
         _CACHES[path] = cache
     return _CACHES[path]
 
 
+def _cuts(text: str) -> list[str]:
+    """What stands between the cuts of a text; the first begins with a space that isn't the text's."""
+    words = text.split(" ")
+    words[0] = " " + words[0]
+    if _ODD.search(text):
+        parts = [words[0]]
+        for w in words[1:]:
+            if not w or w[0].isspace() or parts[-1] == " " or parts[-1][-1].isspace():
+                parts[-1] += " " + w
+            else:
+                parts.append(w)
+        words = parts
+    return words
+
+
 def encode(texts: list[str], path: str, added: bool = False) -> list[bytes]:
     """The ids of each text, as little-endian unsigned 32-bit numbers.
 
@@ -208,8 +266,8 @@ def encode(texts: list[str], path: str, added: bool = False) -> list[bytes]:
     their ids; otherwise their strings are ordinary text.
 
     The byte-level pre-tokenizer always cuts before a space that stands between two characters that are not
-    white space, so what lies between such spaces is encoded once and remembered. A text with other runs of
-    white space around a space is joined back there before it is looked up.
+    white space, so what lies between such spaces is encoded once and remembered; what is new in a text is cut into
+    words together. A text with other runs of white space around a space is joined back there before it is looked up.
     """
     cache, out = _tokenizer(path), []
     tokenizer, holds = _loaded(path)
@@ -217,18 +275,12 @@ def encode(texts: list[str], path: str, added: bool = False) -> list[bytes]:
         if added and holds and holds(text):
             out.append(np.asarray(_as_loaded(tokenizer, text), "<u4").tobytes())
             continue
-        words = text.split(" ")
-        words[0] = " " + words[0]
-        if _ODD.search(text):
-            parts = [words[0]]
-            for w in words[1:]:
-                if not w or w[0].isspace() or parts[-1] == " " or parts[-1][-1].isspace():
-                    parts[-1] += " " + w
-                else:
-                    parts.append(w)
-            words = parts
-        ids = b"".join([cache[w] for w in words])
-        out.append(ids)
+        words = _cuts(text)
+        found = list(map(cache.get, words))
+        gaps = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(gaps, cache.of([words[k] for k in gaps]), strict=True):
+            found[k] = ids
+        out.append(b"".join(found))
     return out
 
 

@@ -58,6 +58,25 @@ def test_what_encoding_remembers_is_bounded_in_bytes():
     assert 1 << 19 < held < 2 << 20
 
 
+def test_new_words_of_a_text_are_cut_together(tokenizer, monkeypatch):
+    import regex
+
+    compiled, calls = regex.compile(packing._WORDS), []
+
+    class Counting:
+        @staticmethod
+        def findall(text):
+            calls.append(text)
+            return compiled.findall(text)
+
+    monkeypatch.setattr(packing, "_CACHES", {})
+    monkeypatch.setattr(regex, "compile", lambda *_: Counting)
+    text = "it's, " + " ".join(f"x{k}y, é{k}.\nwe'll ,é{k}!" for k in range(200)) + " a\u00a0b \n c, " + "w," * 50
+    for _ in range(2):
+        assert encode([text], tokenizer_path()) == [ids(tokenizer, text).tobytes()]
+    assert len(calls) < 10
+
+
 def one_by_one(lengths, capacity):
     """Best-fit decreasing, a piece at a time over a list of bins."""
     bins = []
